@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
+from . import packing as _packing
+from . import simhash as _simhash
 from .common import documents
 
 
@@ -12,8 +14,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(documents(spark, sf_dir))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simhash.near_groups(documents(spark, sf_dir), shingle=3, radius=2)
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_packing": op5_packing,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES = {
