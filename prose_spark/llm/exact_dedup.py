@@ -91,7 +91,8 @@ def exact_dedup(documents: DataFrame, block_bytes: int = 1024) -> DataFrame:
 
     ends = reduce(DataFrame.unionByName, done).select("doc_id", "h", "n_blocks", F.element_at("names", 1).alias("name"), "copies")
     groups = ends.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    groups = groups.select(F.col("n_blocks").alias("_n"), F.col("name").alias("_name"), "keep_id", "group_size")
+    # Written first: a join of two plain exchanges can be split where one group holds many rows.
+    groups = scratch.save(groups.select(F.col("n_blocks").alias("_n"), F.col("name").alias("_name"), "keep_id", "group_size"))
     member = ends.join(groups.hint("shuffle_merge"), (F.col("n_blocks") == F.col("_n")) & (F.col("name") == F.col("_name"))).select(
         F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "keep_id", "group_size"
     )
