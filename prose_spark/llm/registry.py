@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
+from . import html_text as _html
 from . import language_id as _language
 from . import line_dedup as _lines
 from . import mixing as _mixing
@@ -42,6 +43,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.quality(documents(spark, sf_dir))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -50,6 +55,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
+    "op9_html_text": op9_html_text,
 }
 
 ORACLES = {
