@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat as _chat
 from . import exact_dedup as _exact
 from . import html_text as _html
 from . import language_id as _language
@@ -12,6 +13,7 @@ from . import mixing as _mixing
 from . import packing as _packing
 from . import quality as _quality
 from . import simhash as _simhash
+from . import token_rollup as _rollup
 from .common import documents
 
 
@@ -27,6 +29,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language.identify(documents(spark, sf_dir))
 
 
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rollup.rollup_report(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(documents(spark, sf_dir))
 
@@ -47,15 +53,21 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chat.recover_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
+    "op4_token_rollup": op4_token_rollup,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
+    "op10_chat": op10_chat,
 }
 
 ORACLES = {
