@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -217,3 +218,18 @@ def predict(documents: DataFrame, model: ByteGru | None) -> DataFrame:
 def identify(documents: DataFrame, **how: int) -> DataFrame:
     """Train on the table, then predict every row of it."""
     return predict(documents, fit(documents, **how))
+
+
+def accepted(documents: DataFrame, model: ByteGru | None = None, margin: float = 1.2) -> DataFrame:
+    """The documents, all columns, whose language can be told: not `und`, and scored over `margin` times an even guess."""
+    model = model or fit(documents)
+    if model is None:
+        return documents.limit(0)
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            texts = [t if t and LETTER(t) else None for t in part]
+            yield pd.Series(np.concatenate([model.predict(texts[at : at + 128]).max(axis=1) for at in range(0, len(texts), 128)]) if texts else [], dtype="float64")
+
+    return documents.filter(score(F.col("text").cast("string")) > min(0.99, margin / len(model.labels)))

@@ -185,3 +185,10 @@ def line_report(documents: DataFrame, min_words: int = 50) -> DataFrame:
         F.coalesce((F.size("deleted") == 0) | ~empty, F.lit(True)).alias("kept"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
+
+
+def without_copies(documents: DataFrame, min_words: int = 50) -> DataFrame:
+    """The documents, all columns, without lines that are later copies; those of which nothing is left go. A column n_chars follows the text."""
+    out = line_dedup(documents, min_words).filter((F.size("deleted") == 0) | _has_word(F.col("text")))
+    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in documents.columns])

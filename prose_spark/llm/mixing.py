@@ -146,7 +146,7 @@ def mix_report(documents: DataFrame, **how: int) -> DataFrame:
 
 
 def mixed_documents(documents: DataFrame, **how: int) -> DataFrame:
-    """The mix as rows of `documents`, in one row per pass: all columns, the text cut to the words that the pass takes.
+    """The mix as rows of `documents`, in one row per pass: all columns, the text cut to the words that the pass takes (and n_chars to the text).
     Rows equal in doc_id and text share one of them as their source of other columns."""
     _, pieces = mix(documents, **how)
     own = ["s", "bucket", "nth", "pass"]
@@ -159,4 +159,5 @@ def mixed_documents(documents: DataFrame, **how: int) -> DataFrame:
     text = F.col("row.text")
     head = F.rtrim(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("words").cast("int")), ""))
     text = F.when(F.col("words") == word_count(text), text).otherwise(head)
-    return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in documents.columns])
+    fresh = {"text": text, "n_chars": F.length(text).cast("long")}
+    return joined.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in documents.columns])

@@ -10,11 +10,11 @@ positions in which two fingerprints differ, `radius` at most, are orthogonal to
 agrees under that mask: every pair within the radius meets in some table (Pagh, CoveringLSH). Only distinct
 fingerprints are hashed, once each.
 
-Links inside a bucket: the members of a bucket of at most `small_bucket` are compared pair by pair. A larger
-bucket is never paired up: its members go on to hubs. Two fingerprints differ in at most 2t bits exactly if
-some value is within t of both, so each member names the values within floor(radius/2) of it and members that
-share such a hub are linked to the hub's smallest member. For an odd radius an edge of one bit more is wanted, so
-hubs are taken within (radius-1)/2 of a member and of its one-bit neighbours on one side. Nothing is capped.
+Links inside a bucket: a bucket of at most `bucket` members is compared in one task, which gives a spanning forest of
+its pairs within the radius, never the pairs themselves. A larger bucket is not gathered: its members are hashed again,
+under a second covering with other vectors, into buckets within the bucket, and so on. As any covering brings a
+pair within the radius together, nothing is lost; members of one bucket agree in more bits at each level, so that
+few different fingerprints can remain. Nothing is capped.
 
 Components: links are contracted by repeated minimum-neighbour steps (large-star, small-star), with a table
 written to the shared folder after every round.
@@ -26,15 +26,25 @@ rows that repeat a doc_id each give a row; an empty table gives no rows; other c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, ascii_lower
+
+
+def vote(features: list[bytes]) -> int:
+    """The fingerprint of a list of features."""
+    votes = np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, len(features), 4096):
+        h = np.fromiter((digest(s, 42) for s in features[at : at + 4096]), np.uint64)
+        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(features), bitorder="little").tobytes(), "little") if features else 0
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -46,12 +56,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    digest = xxhash.xxh64_intdigest
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(shingles), 4096):  # a bounded piece of a very long text at a time
-        h = np.fromiter((digest(s, 42) for s in shingles[at : at + 4096]), np.uint64)
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(shingles), bitorder="little").tobytes(), "little")
+    return vote(shingles)
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
@@ -66,9 +71,13 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def covering_masks(radius: int, bits: int = 64) -> list[int]:
-    """The 2^(radius+1) - 1 masks. Positions take the non-zero vectors in turn, so that the masks keep about as many bits each."""
-    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in range(bits)]
+def covering_masks(radius: int, level: int = 0, bits: int = 64) -> list[int]:
+    """The 2^(radius+1) - 1 masks. Positions take the non-zero vectors in turn, so that masks keep about as many bits each;
+    further levels deal the positions out anew."""
+    turns = list(range(bits))
+    if level:
+        turns = [int(i) for i in np.random.default_rng(level).permutation(bits)]
+    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in turns]
     return [sum(1 << i for i in range(bits) if (vectors[i] & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
 
 
@@ -76,40 +85,56 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _flips(reach: int) -> list[int]:
-    """Every pattern of at most `reach` set bits of 64."""
-    return [_signed(sum(1 << i for i in c)) for n in range(reach + 1) for c in combinations(range(64), n)]
-
-
-def link_fingerprints(fps: DataFrame, radius: int, scratch: Scratch, small_bucket: int = 16) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b), b < a, that connect exactly what pairs within the radius connect."""
-    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
-    keyed = fps.select("fp", F.posexplode(masks).alias("table", "mask")).select("fp", "table", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    # Sizes first, from map-side counts: no bucket is gathered before its size is known.
-    sizes = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    crowded = scratch.save(
-        keyed.join(sizes.select(F.col("table").alias("_t"), F.col("key").alias("_k"), "n").hint("shuffle_merge"), (F.col("table") == F.col("_t")) & (F.col("key") == F.col("_k"))).select("fp", "table", "key", "n")
-    )
-    members = crowded.filter(F.col("n") <= small_bucket).groupBy("table", "key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
-    pairs = F.flatten(
-        F.transform(
-            F.col("all"),
-            lambda x: F.transform(F.filter("all", lambda y: (y < x) & near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b"))),
-        )
-    )
-    small = members.select(F.inline(pairs)).distinct()
-
-    large = crowded.filter(F.col("n") > small_bucket).select("fp").distinct()
-    flips = F.array(*[F.lit(x) for x in _flips(radius // 2)])
-    hubs = large.select("fp", F.lit(0).alias("side"), F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("hub"))
-    if radius % 2:
-        wide = F.array(*[F.lit(x) for x in _flips(radius // 2 + 1)])
-        hubs = hubs.unionByName(large.select("fp", F.lit(1).alias("side"), F.explode(F.transform(wide, lambda m: F.col("fp").bitwiseXOR(m))).alias("hub")))
-    # A hub has few members: they lie within a fixed distance of it. Links go to the smallest that may be linked.
-    met = hubs.groupBy("hub").agg(F.min(F.when(F.col("side") == 0, F.col("fp"))).alias("least"), F.collect_set("fp").alias("all"), F.count(F.lit(1)).alias("n")).filter("n > 1 and least is not null")
-    far = met.select("least", F.explode("all").alias("x")).filter((F.col("x") != F.col("least")) & near(F.col("x"), F.col("least")))
-    return small.unionByName(far.select(F.greatest("x", "least").alias("a"), F.least("x", "least").alias("b")).distinct())
+def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links (i, j) between places of an array of fingerprints that connect what pairs within the radius connect: each
+    member to its nearest earlier member of every component that it meets."""
+    if len(fps) == 2:
+        return [(1, 0)] if int(fps[0] ^ fps[1]).bit_count() <= radius else []
+    label = np.arange(len(fps))
+    out = []
+    for i in range(1, len(fps)):
+        away = np.bitwise_count(fps[:i] ^ fps[i])
+        near = np.nonzero(away <= radius)[0]
+        if not len(near):
+            continue
+        near = near[np.argsort(away[near], kind="stable")]
+        met, at = np.unique(label[near], return_index=True)
+        out += [(i, int(near[k])) for k in at]
+        label[i] = met[0]
+        if len(met) > 1:
+            label[np.isin(label, met[1:])] = met[0]
+    return out
+
+
+def link_fingerprints(fps: DataFrame, radius: int, scratch: Scratch, bucket: int = 4096, levels: int = 6) -> DataFrame:
+    """Distinct fingerprints (fp) -> links (a, b) that connect exactly what pairs within the radius connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for row in batch.column("all"):
+                own = np.sort(row.values.to_numpy())
+                for i, j in forest(own.view(np.uint64), radius):
+                    a.append(int(own[i]))
+                    b.append(int(own[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows, links = fps.select("fp", F.lit(0).cast("long").alias("key")), []
+    for level in range(levels):
+        masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius, level)])
+        keyed = rows.select("fp", "key", F.posexplode(masks).alias("table", "mask"))
+        keyed = keyed.select("fp", F.xxhash64(F.lit(level), "key", "table", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+        # Sizes first, by map-side counts: no bucket is gathered before its size is known.
+        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sizes = scratch.save(sizes.select(F.col("key").alias("_key"), "n"))
+        met = scratch.save(keyed.join(sizes.hint("shuffle_merge"), F.col("key") == F.col("_key")).select("key", "fp", "n"))
+        last = level == levels - 1  # by then the members of a bucket agree in all but a few bits
+        small = met if last else met.filter(F.col("n") <= bucket)
+        links.append(small.groupBy("key").agg(F.collect_list("fp").alias("all")).select("all").mapInArrow(run, "a long, b long").distinct())
+        rows = met.filter(F.col("n") > bucket).select("fp", "key")
+        if last or rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, links).distinct()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -147,9 +172,79 @@ def near_groups(documents: DataFrame, shingle: int = 3, radius: int = 2) -> Data
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(documents: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The documents' own columns; of each group the row with the smallest doc_id stays (of its repeats too, one)."""
-    groups = near_groups(documents, shingle, radius)
-    kept = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("component_id").alias("_keep"))
-    own = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return own.dropDuplicates(["doc_id"])
+def _shingles(text: str | None, size: int) -> list[bytes]:
+    """The different shingles of a text: of so many words, or of all words if they are fewer."""
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    if not words:
+        return []
+    if len(words) <= size:
+        return [b" ".join(words)]
+    return list(set(map(b" ".join, zip(*(words[i:] for i in range(size))))))
+
+
+def _keys() -> list[Column]:
+    """doc_id and node: a node is a text's sequence of lower-cased words."""
+    node = F.xxhash64(F.regexp_replace(F.trim(F.regexp_replace(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x09-\x0D]", " ")), " +", " "))
+    return [F.col("doc_id").cast("long").alias("doc_id"), node.alias("node")]
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(*_keys(), F.col("text").cast("string").alias("text"))
+
+
+def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """links (a, b) between nodes whose sets (node, set: sorted 32-bit hashes) have a Jaccard similarity of `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                u, v = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                good.append(both >= least * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one = links.join(sets.select(F.col("node").alias("_a"), F.col("set").alias("x")).hint("shuffle_merge"), F.col("a") == F.col("_a")).drop("_a")
+    two = one.join(sets.select(F.col("node").alias("_b"), F.col("set").alias("y")).hint("shuffle_merge"), F.col("b") == F.col("_b")).drop("_b")
+    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_dedup(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+    """The documents' own columns; of each group the row with the smallest doc_id stays, once.
+
+    A group is connected by texts whose different shingles have that Jaccard similarity. SimHash gives the candidates: its
+    features here are a text's different words, so that texts with most shingles in common are few bits apart. An exact
+    comparison of the shingles follows, along the links of the candidates' spanning forest."""
+    scratch = Scratch(documents.sparkSession, "near-dedup")
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([vote(_shingles(t, 1)) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(fps)], ["doc_id", "node", "fp"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed = lambda t: np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in _shingles(t, shingle)), "<u4")).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(hashed, batch.column("text").to_pylist()), pa.binary())], ["node", "set"])
+
+    rows = scratch.save(_texts(documents).mapInArrow(prints, "doc_id long, node long, fp long"))
+    nodes = scratch.save(rows.groupBy("node").agg(F.min(F.struct("doc_id")).alias("first"), F.first("fp").alias("fp")))
+    faces = scratch.save(nodes.groupBy("fp").agg(F.min("node").alias("face")))
+    links = link_fingerprints(faces.select("fp"), radius, scratch)
+    face = lambda c: faces.select(F.col("fp").alias(f"_{c}"), F.col("face").alias(f"node_{c}")).hint("shuffle_merge")
+    links = links.join(face("a"), F.col("a") == F.col("_a")).join(face("b"), F.col("b") == F.col("_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    twins = nodes.join(faces.select(F.col("fp").alias("_fp"), "face").hint("shuffle_merge"), F.col("fp") == F.col("_fp")).filter("node <> face")
+    links = scratch.save(links.unionByName(twins.select(F.col("node").alias("a"), F.col("face").alias("b"))))
+
+    wanted = links.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    wanted = nodes.join(wanted.hint("shuffle_merge"), F.col("node") == F.col("_node")).select(F.col("node").alias("_node"), F.col("first.doc_id").alias("_doc_id"))
+    whole = _texts(documents).join(wanted.hint("shuffle_merge"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    sets = scratch.save(whole.select("node", "text").mapInArrow(gather, "node long, set binary").dropDuplicates(["node"]))
+    member = components(_similar(links, sets, similarity), scratch)
+
+    placed = nodes.join(member.withColumnRenamed("node", "_node").hint("shuffle_merge"), F.col("node") == F.col("_node"), "left")
+    stay = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first.doc_id", "node")).alias("at"))
+    stay = scratch.save(stay.select(F.col("at.doc_id").alias("_doc_id"), F.col("at.node").alias("_node")))
+    own = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), *_keys())
+    kept = own.join(stay.hint("shuffle_merge"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).dropDuplicates(["doc_id", "node"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])
