@@ -181,7 +181,7 @@ def matches_any_glob(path: Column, patterns: Column) -> Column:
     """Whether the path matches one of the shell patterns (* ? [...]); an empty list matches all."""
     quoted = lambda p: F.regexp_replace(p, r"([.+^$(){}|\\])", r"\\$1")
     regex = lambda p: F.concat(F.lit("(?s)^"), F.replace(F.replace(F.replace(quoted(p), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("[!"), F.lit("[^")), F.lit("$"))
-    return (F.size(patterns) == 0) | F.exists(patterns, lambda p: path.rlike(regex(p)))
+    return (F.size(patterns) == 0) | F.exists(patterns, lambda p: F.regexp_like(path, regex(p)))
 
 
 def in_order(text: Column, terms: list[str]) -> Column:

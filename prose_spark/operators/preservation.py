@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prose
@@ -130,6 +130,10 @@ def _searched_literals(documents: DataFrame, needles: list) -> DataFrame:
     return rows.mapInArrow(run, schema) if table else rows.sparkSession.createDataFrame([], schema)
 
 
+def _windows(text: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.length(text) - size), lambda i: F.substring(text, i + 1, F.lit(size)))
+
+
 def _joined_literals(documents: DataFrame, literals: DataFrame, prefix: int = 12) -> DataFrame:
     """A hash join of the documents' windows with the literals' first code points, then a comparison of the whole."""
     sized = literals.select("item_id", F.col("text").alias("needle"), F.least(F.length("text"), F.lit(prefix)).alias("n"))
@@ -137,7 +141,7 @@ def _joined_literals(documents: DataFrame, literals: DataFrame, prefix: int = 12
     t, parts = F.col("text"), None
     for r in sized.select("n").distinct().collect():  # at most `prefix` lengths
         w = int(r["n"])
-        window = F.transform(F.sequence(F.lit(0), F.length(t) - w), lambda i, w=w: F.substring(t, i + 1, F.lit(w)))
+        window = _windows(t, w)
         rows = documents.filter(F.length(t) >= w).select("doc_id", "text", F.posexplode(window).alias("offset", "key"))
         parts = rows if parts is None else parts.unionByName(rows)
     return parts.join(keys, "key").filter(F.substring(t, F.col("offset") + 1, F.length("needle")) == F.col("needle")).select("doc_id", "text", "offset", "item_id")
