@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,40 +199,61 @@ def item_changes(parts: DataFrame, allowed_roles: tuple[str, ...] = ()) -> DataF
     return bags.unionByName(sets).select("pair_id", "kind", "change", "pos", "line", "text", "key")
 
 
+def best_windows(own: list[list[str]], other: list[list[str]]) -> list[tuple[int | None, int | None, int | None]]:
+    """(hits, start, end) for each unit list of `own`: the window of one or two neighbours in `other` that shares most units.
+
+    Postings of a unit are the places that have it, and the places that share it with the next one. Summed over a sentence's
+    units they give the hits of all single places, h, and of all pairs, h[i] + h[i + 1] - both[i], in one count each."""
+    places: dict[str, list[int]] = {}
+    shared: dict[str, list[int]] = {}
+    for i, units in enumerate(other):
+        for u in units:
+            places.setdefault(u, []).append(i)
+    for i in range(len(other) - 1):
+        for u in set(other[i]).intersection(other[i + 1]):
+            shared.setdefault(u, []).append(i)
+    at = {u: np.array(v) for u, v in places.items()}
+    both = {u: np.array(v) for u, v in shared.items()}
+    count = lambda table, units: np.bincount(np.concatenate(found), minlength=len(other)) if (found := [table[u] for u in units if u in table]) else np.zeros(len(other), int)
+    out: list[tuple[int | None, int | None, int | None]] = []
+    for units in own:
+        if not units or not other:
+            out.append((None, None, None))
+            continue
+        one = count(at, units)
+        two = one[:-1] + one[1:] - count(both, units)[:-1]
+        i = int(one.argmax())
+        best = (int(one[i]), i, i + 1)
+        if len(two):
+            j = int(two.argmax())
+            best = min((best, (int(two[j]), j, j + 2)), key=lambda w: (-w[0], w[1], w[2]))
+        out.append(best if best[0] else (0, 0, 1))
+    return out
+
+
+_ALIGNED = "pair_id long, side string, pos int, line int, text string, markers map<string,int>, judgeable boolean, style string, n_units int, hits int, start int, end int"
+
+
 def alignment(parts: DataFrame) -> DataFrame:
     """For each sentence the window of one or two sentences of the other side that covers most of its units.
 
-    An equi-join on (pair_id, unit) instead of all pairs of sentences; ties go to the smallest start, then end. Without a
-    common unit: window (0, 1) and no hits; without units, or facing nothing: null."""
-    said = parts.select("pair_id", "side", F.inline("sentences"))
-    other = F.when(F.col("side") == "before", "after").otherwise("before")
-    size = parts.select("pair_id", other.alias("side"), F.size("sentences").alias("facing"))
-    spot = F.transform("sentences", lambda s, i: F.struct(i.alias("start"), (i + 1).alias("end"), s["units"].alias("units")))
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("sentences")), lambda i: i + 1 < F.size("sentences")),
-        lambda i: F.struct(i.alias("start"), (i + 2).alias("end"), F.array_union(F.get("sentences", i)["units"], F.get("sentences", i + 1)["units"]).alias("units")),
-    )
-    windows = parts.select("pair_id", other.alias("side"), F.inline(F.concat(spot, pairs))).select("pair_id", "side", "start", "end", F.explode("units").alias("unit"))
-    wanted = said.select("pair_id", "side", "pos", F.explode("units").alias("unit"))
-    hits = wanted.join(windows, ["pair_id", "side", "unit"]).groupBy("pair_id", "side", "pos", "start", "end").agg(F.count(F.lit(1)).alias("hits"))
-    best = hits.groupBy("pair_id", "side", "pos").agg(F.min(F.struct((-F.col("hits")).alias("h"), "start", "end")).alias("b"))
-    joined = said.join(size, ["pair_id", "side"]).join(best, ["pair_id", "side", "pos"], "left")
-    n = F.size("units")
-    some = (n > 0) & (F.col("facing") > 0)
-    return joined.select(
-        "pair_id",
-        "side",
-        "pos",
-        "line",
-        "text",
-        "markers",
-        "judgeable",
-        "style",
-        n.alias("n_units"),
-        F.when(some, F.coalesce(-F.col("b.h"), F.lit(0))).alias("hits"),
-        F.when(some, F.coalesce("b.start", F.lit(0))).cast("int").alias("start"),
-        F.when(some, F.coalesce("b.end", F.lit(1))).cast("int").alias("end"),
-    )
+    Ties go to the smallest start, then end. Without a common unit: window (0, 1) and no hits; without units, or facing nothing:
+    null. Both sides of a pair meet in one row; pairs spread over the cluster."""
+    of = lambda s: F.first(F.when(F.col("side") == s, F.col("sentences")), ignorenulls=True).alias(s)
+    two = parts.groupBy("pair_id").agg(of("before"), of("after"))
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.int32()), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for pair, before, after in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "before", "after"))):
+                for side, own, other in (("before", before or [], after or []), ("after", after or [], before or [])):
+                    found = best_windows([s["units"] for s in own], [s["units"] for s in other])
+                    rows += [(pair, side, s["pos"], s["line"], s["text"], s["markers"], s["judgeable"], s["style"], len(s["units"]), *w) for s, w in zip(own, found)]
+            cols = list(zip(*rows)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [f.split()[0] for f in re.split(r", (?=\w+ )", _ALIGNED)])
+
+    return two.mapInArrow(run, _ALIGNED)
 
 
 def _unmatched() -> F.Column:

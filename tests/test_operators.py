@@ -157,6 +157,17 @@ def test_alignment_against_all_windows(spark):
     assert {(r["pair_id"], r["side"], r["pos"]): (r["hits"], r["start"], r["end"]) for r in out} == want
 
 
+def test_alignment_of_long_texts_is_not_quadratic():
+    import time
+
+    rng = random.Random(0)
+    words = ["設定", "確認", "再起動", "サーバー", "利用者", "記録", "検索", "です", "ます", "する"] + [f"語{i}" for i in range(400)]
+    side = lambda: [sorted({w[i : i + 2] for w in rng.choices(words, k=8) for i in range(len(w) - 1)}) for _ in range(6400)]
+    began = time.time()
+    comparison.best_windows(side(), side())
+    assert time.time() - began < 30
+
+
 def test_markers_and_style(spark):
     parts = pair(spark, "この設定は必要である。結果はまだ出ない。", "この設定は必要でしょう。結果はまだ出ない。")
     got = {(r["side"], r["kind"]) for r in comparison.marker_changes(comparison.alignment(parts), parts).collect()}
