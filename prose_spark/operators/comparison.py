@@ -215,11 +215,15 @@ def best_windows(own: list[list[str]], other: list[list[str]]) -> list[tuple[int
     at = {u: np.array(v) for u, v in places.items()}
     both = {u: np.array(v) for u, v in shared.items()}
     count = lambda table, units: np.bincount(np.concatenate(found), minlength=len(other)) if (found := [table[u] for u in units if u in table]) else np.zeros(len(other), int)
+    known: dict[tuple[str, ...], tuple[int | None, int | None, int | None]] = {}  # repetitive texts repeat whole sets
     out: list[tuple[int | None, int | None, int | None]] = []
     for units in own:
         if not units or not other:
             out.append((None, None, None))
             continue
+        if (key := tuple(units)) in known:
+            out.append(known[key])
+            continue
         one = count(at, units)
         two = one[:-1] + one[1:] - count(both, units)[:-1]
         i = int(one.argmax())
@@ -227,7 +231,8 @@ def best_windows(own: list[list[str]], other: list[list[str]]) -> list[tuple[int
         if len(two):
             j = int(two.argmax())
             best = min((best, (int(two[j]), j, j + 2)), key=lambda w: (-w[0], w[1], w[2]))
-        out.append(best if best[0] else (0, 0, 1))
+        known[key] = best if best[0] else (0, 0, 1)
+        out.append(known[key])
     return out
 
 
