@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import notation
 from ..functions import text as T
-from ..operators import comparison, evaluation, feedback, ledger, preservation, readability, rules
+from ..operators import comparison, evaluation, feedback, ledger, preservation, readability, rules, structure
 from ..sources import markup, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -605,3 +605,77 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"select doc_id || chr(9) || replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), chr(13), '\r') as value from documents")
 def tsv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.tsv_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    f"""with {LABELLED}, c as (select source as case_id, doc_id % 2 = 0 as out, quality = 1 as supported from labelled where quality is not null)
+    select case_id, count(*) filter (out and supported) / nullif(count(*) filter (out), 0) as precision, count(*) filter (not out and supported) / nullif(count(*) filter (not out), 0) as recall from c group by 1"""
+)
+def claim_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("doc_id") % 2 == 0, "output").otherwise("reference")
+    rows = labelled(spark, sf_dir).filter("quality is not null").select(F.col("source").alias("case_id"), side.alias("side"), (F.col("quality") == 1).alias("supported"))
+    return evaluation.claim_scores(rows)
+
+
+@query("select count(*) as runs, sum(user_id)::bigint as calls, count(distinct event_type) = 1 as same_config, count(distinct event_id) = count(event_id) as ids_unique from events")
+def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return evaluation.merge_runs(e.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("config"), F.col("user_id").alias("calls"), F.col("value").alias("cost"))).drop("cost")
+
+
+@query(
+    """with m as (select user_id as run_id, event_type as message_id, max_by(event_id, event_id) as i, max_by(user_id, event_id) as o from events group by 1, 2)
+    select run_id, count(*) as turns, sum(i)::bigint as input_tokens, sum(o)::bigint as output_tokens from m group by 1"""
+)
+def message_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return feedback.message_usage(e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("message_id"), F.col("event_id").alias("pos"), F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens")))
+
+
+@query("select event_type as run_id, max(event_id) as pos, max_by(user_id, event_id) as size from events group by 1")
+def last_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run_id"), F.col("event_id").alias("pos"), F.lit("result").alias("type"), F.col("user_id").alias("size"))
+    return feedback.last_result(e)
+
+
+@query(
+    r"""with x as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents)
+    select doc_id, case when length(t) > 30 then t[1:30] || '…' else t end as preview from x"""
+)
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+@query("select distinct d.doc_id, b.item_id is not null as holds from documents d left join benchmark b on contains(d.text, b.text)")
+def benchmark_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    hits = preservation.forbidden_literals(d, table(spark, sf_dir, "benchmark").select("item_id", "text")).select("doc_id").distinct()
+    return d.select("doc_id").join(hits.withColumn("hit", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("holds"))
+
+
+@query(
+    f"""with {PAIRS}, n as (select pair_id, list_distinct(list_transform(regexp_extract_all(before, '[0-9]+(?:\\.[0-9]+)?'), lambda x: x::double)) as b,
+      list_distinct(list_transform(regexp_extract_all(after, '[0-9]+(?:\\.[0-9]+)?'), lambda x: x::double)) as a from pairs)
+    select pair_id, 0 as headings_before, 0 as headings_after, 'same' as heading_state, len(list_filter(a, lambda x: not list_contains(b, x)))::int as new from n"""
+)
+def structure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = structure.structure_changes(turn_pairs(spark, sf_dir))
+    return out.select("pair_id", "headings_before", "headings_after", "heading_state", F.size("numbers_new").alias("new"))
+
+
+@query(
+    """select doc_id as source_id, case when quality is null then 'gone' when toxic = 1 then 'changed' else 'unchanged' end as state from documents left join labels using (doc_id)"""
+)
+def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled(spark, sf_dir)
+    head = F.when(F.col("quality").isNotNull(), F.coalesce("toxic", F.lit(0)).cast("string"))
+    return structure.source_changes(rows.select(F.col("doc_id").alias("source_id"), F.lit("0").alias("reviewed"), head.alias("head"), F.lit(None).cast("string").alias("error")))
+
+
+@query("select lang, case when doc_id % 3 = 0 then 'never' else 'must' end as kind, (doc_id % 3 = 0) <> regexp_matches(text, '[0-9]{5}') as holds, count(*) as n from documents group by all")
+def pattern_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 3 == 0, "never").otherwise("must")
+    checks = d.select(F.col("doc_id").alias("case_id"), "lang", kind.alias("kind"), F.lit("[0-9]{5}").alias("pattern"))
+    held = structure.pattern_checks(d.select(F.col("doc_id").alias("case_id"), "text"), checks).join(checks.select("case_id", "lang"), "case_id")
+    return held.groupBy("lang", "kind", "holds").agg(F.count(F.lit(1)).alias("n"))

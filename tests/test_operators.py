@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prose_spark.functions import text as T
-from prose_spark.operators import comparison, evaluation, feedback, ledger, preservation, readability, rules
+from prose_spark.operators import comparison, evaluation, feedback, ledger, preservation, readability, rules, structure
 from prose_spark.sources import documents as files
 from prose_spark.sources import markup, sinks
 
@@ -338,3 +338,15 @@ def test_schedules(spark):
     pairs = spark.createDataFrame([(i, f"d{i // 2}") for i in range(400)], "pair_id int, document_id string")
     got = evaluation.balanced_assignment(pairs).collect()
     assert len({(r["document_id"], r["swapped"]) for r in got}) == 200 and 80 <= sum(r["swapped"] for r in got) // 2 <= 120
+
+
+def test_structure(spark):
+    pairs = spark.createDataFrame([(1, "# A\n**Label**: x\n10 and 4", "# A\n## B\n10, 6 and 7"), (2, None, None)], "pair_id int, before string, after string")
+    got = {r["pair_id"]: r for r in structure.structure_changes(pairs).collect()}
+    assert (got[1]["heading_state"], got[1]["labels_lost"], sorted(got[1]["numbers_new"]), got[1]["numbers_made_up"]) == ("split", ["Label"], [6.0, 7.0], [7.0])
+    assert got[2]["heading_state"] == "same"
+    texts = spark.createDataFrame([("a", "yes"), ("b", None)], "case_id string, text string")
+    checks = spark.createDataFrame([("a", "must", "y.s"), ("a", "never", "yes"), ("b", "must", "x"), ("c", "never", "x")], "case_id string, kind string, pattern string")
+    assert rows(structure.pattern_checks(texts, checks), "case_id", "kind", "holds") == [("a", "must", True), ("a", "never", False), ("b", "must", False), ("c", "never", True)]
+    watched = spark.createDataFrame([("a", "1", "1", None), ("b", "1", "2", None), ("c", None, "1", None), ("d", "1", None, None), ("e", "1", "1", "x")], "source_id string, reviewed string, head string, error string")
+    assert [r[1] for r in rows(structure.source_changes(watched), "source_id", "state")] == ["unchanged", "changed", "new", "gone", "error"]
