@@ -337,9 +337,10 @@ def grader_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.confusion(rows, "h", "m")
 
 
-@query(f"with {LABELLED} select lang, quality, toxic, count(*) as n from labelled group by all")
+@query(f"with {LABELLED} select lang, quality::varchar as quality, toxic::varchar as toxic, count(*) as n from labelled group by all")
 def label_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.crosstab(labelled(spark, sf_dir), ["lang", "quality", "toxic"])
+    rows = labelled(spark, sf_dir).select("lang", F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
+    return evaluation.crosstab(rows, ["lang", "quality", "toxic"])
 
 
 @query(
@@ -557,13 +558,13 @@ def ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with u as (select conv_id as run_id, turn as pos, turn // 2 as tool_id, role as name from conversations where turn % 2 = 0), r as (select conv_id as run_id, turn // 2 as tool_id, length(text) as output_chars from conversations where turn % 2 = 1)
-    select run_id, tool_id, pos, name, output_chars from u left join r using (run_id, tool_id)"""
+    select run_id, tool_id, pos, name, output_chars::varchar as output_chars from u left join r using (run_id, tool_id)"""
 )
 def tool_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     kind = F.when(F.col("turn") % 2 == 0, "tool_use").otherwise("tool_result")
     rows = c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("pos"), kind.alias("type"), F.floor(F.col("turn") / 2).alias("tool_id"), F.col("role").alias("name"), F.length("text").alias("size"))
-    return feedback.tool_evidence(rows).select("run_id", "tool_id", "pos", "name", "output_chars")
+    return feedback.tool_evidence(rows).select("run_id", "tool_id", "pos", "name", F.col("output_chars").cast("string").alias("output_chars"))
 
 
 @query("select event_type as label, count(*) as runs, count(*) filter (value = 0) as error_free, count(*) filter (user_id % 2 = 0) as protected_kept from events group by 1")
