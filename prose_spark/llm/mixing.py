@@ -71,7 +71,7 @@ def _placed(documents: DataFrame, seed: int, scratch: Scratch) -> tuple[DataFram
     sums = scratch.save(sums.select(F.col("s").alias("_s"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("words").over(up_to), F.lit(0)).alias("base")))
     inside = Window.partitionBy("s", "bucket").orderBy(F.shiftleft(F.col("key"), 1), "key", "doc_id", "h")
     counted = dealt.withColumns({"nth": F.row_number().over(inside), "run": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-    placed = counted.join(sums, (F.col("s") == F.col("_s")) & (F.col("bucket") == F.col("_bucket")))
+    placed = counted.join(sums.hint("shuffle_merge"), (F.col("s") == F.col("_s")) & (F.col("bucket") == F.col("_bucket")))
     return scratch.save(placed.select("s", "bucket", "nth", "doc_id", "h", "size", "source_size", "target", (F.col("base") + F.col("run") - F.col("size")).alias("place"))), sources
 
 
@@ -130,7 +130,7 @@ def mix(documents: DataFrame, seed: int = 17, block_words: int = 4096, shard_blo
     low, high = F.greatest("begin", F.col("block") * block_words), F.least("end", (F.col("block") + 1) * block_words)
     cut = cut.select(*key, "doc_id", "h", "pass", "block", (low - F.col("begin")).alias("first"), (high - low).alias("words"))
     where = blocks.select(F.col("s").alias("_s"), F.col("block").alias("_block"), "shard")
-    pieces = cut.join(where, (F.col("s") == F.col("_s")) & (F.col("block") == F.col("_block"))).drop("_s", "_block")
+    pieces = cut.join(where.hint("shuffle_merge"), (F.col("s") == F.col("_s")) & (F.col("block") == F.col("_block"))).drop("_s", "_block")
     return placed, pieces.withColumn("turn", F.xxhash64("doc_id", "h", "pass", "block", F.lit(seed + 1)))
 
 
