@@ -61,7 +61,7 @@ def _placed(documents: DataFrame, seed: int, scratch: Scratch) -> tuple[DataFram
     )
     sources = scratch.save(targets(sized))
     rows = sized.count()
-    bits = max(0, int(rows // 2000).bit_length())
+    bits = max(0, int(rows // 500).bit_length())
     mixed = F.xxhash64("doc_id", "h", F.lit(seed))
     bucket = F.shiftrightunsigned(mixed, 64 - bits) if bits else F.lit(0).cast("long")
     known = sources.select(F.col("source").alias("_source"), "s", "source_size", "target")
