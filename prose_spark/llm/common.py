@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="prose_spark_")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -27,7 +30,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, survive lost executors and can be dropped early."""
+    """Tables written to the shared folder: they cut lineage, survive lost executors and can be dropped early.
+
+    What a returned DataFrame still reads stays; `root` names the folder to remove once its result is written."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark

@@ -144,14 +144,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large-star: larger neighbours of a node go to the least of its neighbourhood
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low.withColumnRenamed("a", "c").hint("shuffle_merge"), F.col("a") == F.col("c")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = scratch.save(low.withColumnRenamed("a", "c"))  # a join of two plain exchanges can be split where one node has many neighbours
+        large = both.join(low.hint("shuffle_merge"), F.col("a") == F.col("c")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small-star: smaller neighbours of a node, and the node, go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least.withColumnRenamed("a", "c").hint("shuffle_merge"), F.col("a") == F.col("c"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         after = scratch.save(small)
         now, then = (t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for t in (after, edges))
-        scratch.drop(edges)
+        scratch.drop(edges, low)
         edges = after
         if now == then:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
