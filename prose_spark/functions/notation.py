@@ -11,6 +11,7 @@ from collections import Counter
 from functools import cached_property
 from typing import NamedTuple
 
+# Profiles, categories, and the shapes of what is protected.
 PROFILES = ("general-tech", "public-explanation", "official")
 CATEGORIES = ("error", "recommendation", "needs_context", "accepted_variant", "excluded")
 FLAGGED = frozenset(CATEGORIES[:3])

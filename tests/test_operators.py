@@ -350,3 +350,14 @@ def test_structure(spark):
     assert rows(structure.pattern_checks(texts, checks), "case_id", "kind", "holds") == [("a", "must", True), ("a", "never", False), ("b", "must", False), ("c", "never", True)]
     watched = spark.createDataFrame([("a", "1", "1", None), ("b", "1", "2", None), ("c", None, "1", None), ("d", "1", None, None), ("e", "1", "1", "x")], "source_id string, reviewed string, head string, error string")
     assert [r[1] for r in rows(structure.source_changes(watched), "source_id", "state")] == ["unchanged", "changed", "new", "gone", "error"]
+
+
+def test_windowed_counts(spark, tmp_path):
+    from prose_spark.streaming import metrics
+
+    rows = spark.sql("select timestamp'2026-01-01 00:10:00' as ts, 'a' as k union all select timestamp'2026-01-01 00:50:00', 'a' union all select timestamp'2026-01-01 03:00:00', 'b'")
+    rows.write.parquet(str(tmp_path / "ev"))
+    s = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "ev"))
+    q = metrics.windowed_counts(s, "ts", ["k"]).writeStream.format("memory").queryName("wc").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [(r["k"], r["n"]) for r in spark.table("wc").collect()] == [("a", 2)]
