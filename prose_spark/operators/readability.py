@@ -43,14 +43,21 @@ def sentence_rows(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "block", F.inline("sentences"))
 
 
-def _runs(sentences: Column, short: int, least: int) -> Column:
-    """Runs of `least` or more short, ended sentences in an array of sentences: (offset, line, length of text, sentences)."""
-    ok = lambda s: (T.visible_length(s["text"]) < short) & T.ends_with_terminator(s["text"])
-    step = lambda acc, s: F.when(
-        ok(s), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.array(s["sent"]))))
-    ).otherwise(F.when(F.size(F.element_at(acc, -1)) > 0, F.concat(acc, F.array(F.array().cast("array<int>")))).otherwise(acc))
-    runs = F.aggregate(sentences, F.array(F.array().cast("array<int>")), step)
-    return F.filter(runs, lambda r: F.size(r) >= max(1, least))
+def _is_short(said: Column, short: int) -> Column:
+    return (T.visible_length(said) < short) & T.ends_with_terminator(said)
+
+
+def _run_count(sentences: Column, short: int, least: int) -> Column:
+    """How many runs of `least` or more short, ended sentences an array of sentences has: places where one begins."""
+    flags = F.transform(sentences, lambda s: _is_short(s["text"], short))
+    least = max(1, least)
+    begins = lambda f: F.size(
+        F.filter(
+            F.sequence(F.lit(0), F.size(f) - 1),
+            lambda i: F.get(f, i) & ~F.coalesce(F.get(f, i - 1), F.lit(False)) & (i + least <= F.size(f)) & F.forall(F.slice(f, i + 1, least), lambda x: x),
+        )
+    )
+    return F.when(F.size(sentences) > 0, F.transform(F.array(flags), begins)[0]).otherwise(0)
 
 
 def document_metrics(
@@ -72,7 +79,7 @@ def document_metrics(
         F.size("sentences").cast("long").alias("sentences"),
         total(lengths).alias("sentence_chars"),
         F.size(F.filter(lengths, lambda n: n >= sentence)).cast("long").alias("long_sentences"),
-        F.size(_runs(F.col("sentences"), short, run)).cast("long").alias("short_runs"),
+        _run_count(F.col("sentences"), short, run).cast("long").alias("short_runs"),
         total(marks).alias("commas"),
     )
     zero = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.lit(0).cast("long").alias(c) for c in COUNTERS])
@@ -110,18 +117,18 @@ def long_sentences(sentences: DataFrame, least: int = 46) -> DataFrame:
 
 def short_runs(blocks: DataFrame, short: int = 20, least: int = 3) -> DataFrame:
     """Runs of consecutive short sentences that end in a terminator, within a block, where they begin."""
-    at = blocks.select("doc_id", "block", "text", "sentences", F.explode(_runs(F.col("sentences"), short, least)).alias("run"))
-    first, last = F.get("sentences", F.get("run", 0)), F.get("sentences", F.element_at("run", -1))
+    at = blocks.join(short_run_islands(sentence_rows(blocks), short, least).withColumnRenamed("sentences", "n"), ["doc_id", "block"])
+    first, last = F.get("sentences", F.col("sent")), F.get("sentences", F.col("sent") + F.col("n").cast("int") - 1)
     body = F.substring(F.col("text"), first["offset"] + 1, last["offset"] + F.length(last["text"]) - first["offset"])
-    return at.select("doc_id", "block", first["line"].alias("line"), T.visible_length(body).alias("length"), F.size("run").alias("sentences"), T.preview(body).alias("preview"))
+    return at.select("doc_id", "block", first["line"].alias("line"), T.visible_length(body).alias("length"), F.col("n").alias("sentences"), T.preview(body).alias("preview"))
 
 
 def short_run_islands(sentences: DataFrame, short: int = 20, least: int = 3) -> DataFrame:
     """The same runs found by gaps and islands over sentence rows (doc_id, block, sent, text): start and number of sentences."""
-    ok = (T.visible_length(F.col("text")) < short) & T.ends_with_terminator(F.col("text"))
+    ok = _is_short(F.col("text"), short)
     order = Window.partitionBy("doc_id", "block").orderBy("sent")
     marked = sentences.select("doc_id", "block", "sent", ok.alias("ok")).withColumn("island", F.sum((~F.col("ok")).cast("int")).over(order))
-    return marked.filter("ok").groupBy("doc_id", "block", "island").agg(F.min("sent").alias("sent"), F.count(F.lit(1)).alias("sentences")).filter(F.col("sentences") >= least).drop("island")
+    return marked.filter("ok").groupBy("doc_id", "block", "island").agg(F.min("sent").alias("sent"), F.count(F.lit(1)).alias("sentences")).filter(F.col("sentences") >= max(1, least)).drop("island")
 
 
 def top_candidates(candidates: DataFrame, k: int, rank: str = "length", per: list[str] | None = None) -> DataFrame:
