@@ -242,6 +242,26 @@ def test_shingle_overlaps_against_brute_force(spark):
     assert {(r["a"], r["b"]): r["shared"] for r in feedback.overlapping(d).collect()} == want and want
 
 
+def test_shingle_overlaps_of_more_originals_than_a_crowd(spark):
+    import zlib
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, other = word(300), word(300)
+    texts = [passage + word(40) for _ in range(90)] + [passage[:200] + word(60) + other[:150] for _ in range(70)] + [other + word(30) for _ in range(5)]
+
+    def shingles(t):
+        return {h for i in range(len(t) - 19) if (h := zlib.crc32(t[i : i + 20].encode())) % 8 == 0}
+
+    d = docs(spark, *texts)
+    names, own = dict(d.select("doc_id", T.whitespace_free_id(F.col("text"))).collect()), list(map(shingles, texts))
+    want = {tuple(sorted((names[i], names[j]))): n for i in range(len(texts)) for j in range(i) if (n := len(own[i] & own[j])) >= 2}
+    assert len(want) > 160 * 159 // 2
+    for how in ({}, {"chunk": 7}):
+        got = [((r["a"], r["b"]), r["shared"]) for r in feedback.overlapping(d, **how).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
 def test_intake(spark):
     t = spark.createDataFrame(
         [("a/1", 10, "text", "a", False), ("a/2", 10, "text", "a", False), ("b/1", 10, "text", "b", False), ("c/1", 5000, "x", "c", False), ("d/1", 1, " ", "d", False), ("e/1", 1, "x", "e f", False), ("f/1", 1, "y", "f", True)],
