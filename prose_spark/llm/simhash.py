@@ -210,12 +210,32 @@ def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _across(nodes: DataFrame, sets: DataFrame, candidates: DataFrame, groups: DataFrame, least: float, radius: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes within the radius, of one component of candidates but of different groups so far; without those
+    whose sets are of too different sizes to be similar.
+
+    A forest links what candidates connect, but once its dissimilar links are struck out, pairs that it left out matter. Pairs
+    within a group would connect nothing new."""
+    named = lambda t, c: t.select(F.col("node").alias("_node"), F.col("root").alias(c)).hint("shuffle_merge")
+    at = nodes.select("node", "fp").join(named(candidates, "within"), F.col("node") == F.col("_node")).drop("_node")
+    at = at.join(named(groups, "root"), F.col("node") == F.col("_node"), "left").withColumn("group", F.coalesce("root", "node")).drop("_node", "root")
+    at = scratch.save(at)
+    mixed = at.groupBy("within").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select(F.col("within").alias("_within"))
+    size = sets.select(F.col("node").alias("_node"), F.octet_length("set").alias("size"))
+    at = at.join(mixed.hint("shuffle_merge"), F.col("within") == F.col("_within")).join(size.hint("shuffle_merge"), F.col("node") == F.col("_node"))
+    at = scratch.save(at.select("within", "group", "node", "fp", "size"))
+    pairs = at.alias("x").join(at.alias("y").hint("shuffle_merge"), "within").filter("x.group < y.group")
+    pairs = pairs.filter((F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius) & (F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size")))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def near_dedup(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
     """The documents' own columns; of each group the row with the smallest doc_id stays, once.
 
     A group is connected by texts whose different shingles have that Jaccard similarity. SimHash gives the candidates: its
     features here are a text's different words, so that texts with most shingles in common are few bits apart. An exact
-    comparison of the shingles follows, along the links of the candidates' spanning forest."""
+    comparison of the shingles follows: first along the links of the candidates' spanning forest, then, where those leave a
+    component of candidates in several groups, of all pairs within the radius that lie in different groups (`_across`)."""
     scratch = Scratch(documents.sparkSession, "near-dedup")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +261,13 @@ def near_dedup(documents: DataFrame, shingle: int = 5, similarity: float = 0.8,
     wanted = nodes.join(wanted.hint("shuffle_merge"), F.col("node") == F.col("_node")).select(F.col("node").alias("_node"), F.col("first.doc_id").alias("_doc_id"))
     whole = _texts(documents).join(wanted.hint("shuffle_merge"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
     sets = scratch.save(whole.select("node", "text").mapInArrow(gather, "node long, set binary").dropDuplicates(["node"]))
-    member = components(_similar(links, sets, similarity), scratch)
+    good = scratch.save(_similar(links, sets, similarity))
+    member = components(good, scratch)
+    rest = scratch.save(_across(nodes, sets, components(links, scratch), member, similarity, radius, scratch))
+    if not rest.isEmpty():
+        more = scratch.save(_similar(rest, sets, similarity))
+        if not more.isEmpty():
+            member = components(good.unionByName(more), scratch)
 
     placed = nodes.join(member.withColumnRenamed("node", "_node").hint("shuffle_merge"), F.col("node") == F.col("_node"), "left")
     stay = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first.doc_id", "node")).alias("at"))

@@ -381,6 +381,33 @@ def test_near_copies_leave_one(spark):
     assert groups[4] == 1 and groups[9] == groups[8] == 8 and groups[5] == 5
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_dedup_on_crowded_fingerprints_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(25):  # the same words in other orders: one fingerprint, nothing in common; then copies of each
+        order = rng.sample(words, len(words))
+        for k in range(3):
+            copy = order.copy()
+            for _ in range(k * 2):
+                i = rng.randrange(199)
+                copy[i], copy[i + 1] = copy[i + 1], copy[i]
+            if rng.random() < 0.4:
+                copy[rng.randrange(200)] = f"v{rng.randrange(50)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    fps, sets = [simhash.vote(simhash._shingles(t, 1)) for t in texts], [set(simhash._shingles(t, 5)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 5 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = sorted(min(i for i, x in enumerate(label) if x == g) for g in set(label))
+    got = sorted(r["doc_id"] for r in simhash.near_dedup(table(spark, list(enumerate(texts)))).collect())
+    assert len(want) < len(texts) and got == want
+
+
 # ---- quality
 
 
