@@ -46,7 +46,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality.quality(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return _quality.quality(docs, bands=_quality.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -435,6 +435,19 @@ def test_bands_reject_what_a_vocabulary_cannot_read(spark):
     assert quality.script_of("привет мир") == "cyrillic" and quality.script_of("123") == "none" and quality.script_of("日本語のテキスト") in ("han", "kana")
 
 
+def test_op8_entropy_floor_comes_from_labelled_documents(spark, tmp_path):
+    from prose_spark.llm import registry
+
+    rng = random.Random(4)
+    lexicon = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 8))) for _ in range(600)]
+    rows = [(i, " ".join(rng.choice(lexicon) for _ in range(300))) for i in range(80)] + [(100, " ".join(rng.choice(lexicon[:25]) for _ in range(300)))]
+    table(spark, rows).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(70)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r for r in registry.op8_quality(spark, str(tmp_path)).collect()}
+    assert not got[100]["base_failed"] and got[100]["entropy_share"] > quality.BANDS["latin"].least_entropy and not got[100]["kept"]
+    assert sum(got[i]["kept"] for i in range(80)) >= 76
+
+
 # ---- HTML
 
 
