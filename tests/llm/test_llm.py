@@ -303,6 +303,52 @@ def test_line_dedup_against_all_pairs_of_places(spark, seed, least):
     assert got == brute_lines(docs, least)
 
 
+@pytest.mark.parametrize("seed,least", [(4, 5), (5, 9)])
+def test_maximal_runs_and_suffix_order_by_brute_force(spark, seed, least):
+    rng = random.Random(seed)
+    kinds = ["a b", "c", "d e f g", "", "h i j k"]
+    docs = [(i, "\n".join(rng.choice(kinds[: rng.randint(2, 5)]) for _ in range(rng.randint(1, 12)))) for i in range(30)]
+    df = table(spark, docs).repartition(3)
+    seqs = {i: [x for x in t.split("\n") if x.split()] for i, t in docs}
+    places = [(i, p) for i, x in seqs.items() for p in range(len(x))]
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    def window(i, p):
+        for n in range(1, len(seqs[i]) - p + 1):
+            if sum(len(x.split()) for x in seqs[i][p : p + n]) >= least:
+                return tuple(seqs[i][p : p + n])
+
+    windows = defaultdict(list)
+    for i, p in places:
+        if w := window(i, p):
+            windows[w].append((i, p))
+    source = {at: (ats[0], len(ats)) for ats in windows.values() for at in ats[1:]}
+    want = {}
+    for (i, p), ((j, q), n) in source.items():
+        if source.get((i, p - 1), (None,))[0] != (j, q - 1):
+            want[i, p] = (common(seqs[i][p:], seqs[j][q:]), n, j, q)
+    got = {(r["doc_id"], r["line"]): (r["lines"], r["copies"], r["source_doc_id"], r["source_line"]) for r in line_dedup.repeated_runs(df, least).collect()}
+    assert want and got == want
+    report = {r["doc_id"]: r for r in line_dedup.line_report(df, least).collect()}
+    assert all(r["n_runs"] == sum(i == d for d, _ in want) for i, r in report.items())
+    # ranks compare as the prefixes they stand for
+    scratch = Scratch(spark, "test")
+    rows = scratch.save(line_dedup.line_rows(df, least, scratch))
+    ids = {r["at"]: (r["base"], (r["h1"], r["h2"])) for r in rows.collect()}
+    _, levels = line_dedup.prefix_ranks(rows, scratch)
+    assert len(levels) >= 2
+    for k, level in enumerate(levels):
+        prefix = {r["at"]: (r["rank"], tuple(ids[r["at"] + n][1] for n in range(2**k))) for r in level.collect()}
+        order = sorted(prefix.values(), key=lambda x: x[1])
+        assert all((a[0] < b[0]) == (a[1] < b[1]) and (a[0] == b[0]) == (a[1] == b[1]) for a, b in zip(order, order[1:]))
+
+
+def test_line_ids_have_128_bits(spark):
+    scratch = Scratch(spark, "test")
+    row = line_dedup.line_rows(table(spark, [(1, "some words in a line")]), 2, scratch).select("h1", "h2", F.xxhash64(F.lit("some words in a line"), F.lit(1)).alias("chained")).first()
+    assert row["h2"] != row["chained"] and row["h2"] != row["h1"]
+
+
 def test_later_copies_go_and_clean_documents_stay(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"one\n{passage}\nend"), (2, f"two\n{passage}"), (3, passage), (4, "short\nlines"), (5, "short\nother")]
