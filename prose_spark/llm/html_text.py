@@ -71,7 +71,7 @@ AROUND = frozenset(
     "signup login share sharing social comment comments disqus reply replies respond related recommended recommendations pagination pager widget widgets toolbar skip search".split()
 )
 #: Inside an article or main element only a whole class name or id tells, and only one of these.
-WITHIN = frozenset("ad ads advert adverts advertisement sponsored promo sidebar cookie-notice notice newsletter share social comment comments replies related".split())
+WITHIN = frozenset("ad ads advert adverts advertisement sponsored promo sidebar cookie-notice notice newsletter share social comment comments comment-list comments-area reader-comments user-comments replies related".split())
 #: Of article and main elements, only these are something else than the article.
 OTHERS = frozenset("comment comments reply replies ad ads advert promo sponsored related teaser".split())
 NEGATED = frozenset(("has", "with", "no"))

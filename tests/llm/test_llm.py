@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -508,11 +509,90 @@ def test_main_text_leaves_out_what_is_not_the_article():
     assert html_text.main_text(page).split("\n\n") == want
 
 
-@pytest.mark.parametrize("html,text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\n\nb"), ("a < b &lt; c", "a < b < c"), ("<b>x</b", "x</b"), ("<div>" * 3000 + "deep", "deep"), ("<!-- x", ""), ("<script>x", "")])
+@pytest.mark.parametrize("html,text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\n\nb"), ("a < b &lt; c", "a < b < c"), ("<b>x</b", "x"), ("<p>a<b", "a"), ("<p title=it's>don't <b>x</b>", "don't x"), ("<a b=\"x>y</a>", "y"), ("<div>" * 3000 + "deep", "deep"), ("<!-- x", ""), ("<script>x", "")])
 def test_broken_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_only_the_attribute_itself_tells():
+    for html in (
+        '<article><div style="overflow:hidden"><p>body text here</p></div></article>',
+        '<p title="the hidden garden">body text here</p>',
+        '<p><a href="/hidden">body text here</a></p>',
+        '<div data-id="comments">body text here</div>',
+        '<article><p class="commentary">body</p><p class="navy">text</p><p class="alert">here</p></article>',
+    ):
+        assert html_text.main_text(html).split() == ["body", "text", "here"], html
+    assert html_text.main_text('<p hidden>a</p><p class="page-comments">b</p><article><p class="x comments">c</p><p>d</p></article>') == "d"
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<a " * 20000, "<b>" * 20000, '<p title="' * 20000, "<i>" + "<table>" + "<b>" * 10000 + "</i>" * 10000, "<p>" + "<b>" * 10000 + "<p>" * 10000, '<a href="x>' * 20001, "<!--" * 20000, "</" * 20000, "<div><p>x" * 10000],
+)
+def test_broken_pages_take_linear_time(html):
+    began = time.process_time()
+    html_text.main_text(html)
+    assert time.process_time() - began < 3
+
+
+def test_density_finds_articles_without_telling_names():
+    rng = random.Random(12)
+    said = lambda n: " ".join(rng.choice(["some", "plain", "words", "of", "text", "here"]) for _ in range(n))
+    for depth in range(4):
+        parts = [said(rng.randint(3, 80)) for _ in range(12)]
+        menu = "".join(f"<div><a href=/{i}>{said(2)}</a></div>" for i in range(15))
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        page = f"<body><div>{menu}</div><div>{said(4)}</div>" + "<div>" * depth + f"<div>{body}</div>" + "</div>" * depth + f"<div>{said(8)}</div></body>"
+        assert html_text.main_text(page) == "\n\n".join(parts)
+
+
+def test_densities_by_recursion():
+    import math
+
+    rng = random.Random(13)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["some words of text ", "x ", ""])
+        tag = rng.choice(["div", "p", "a", "b", "span"])
+        return f"<{tag}>" + "".join(grow(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(50):
+        root = html_text.parse(grow(5))
+        order = html_text._measure(root)
+
+        def count(n, linked):
+            linked = linked or n.tag == "a"
+            own = sum(len("".join(x.split())) for x in n.items if isinstance(x, str))
+            out = [own, 0, own * linked, int(n.tag == "a")]
+            for x in n.items:
+                if not isinstance(x, str):
+                    sub = count(x, linked)
+                    out = [out[0] + sub[0], out[1] + sub[1] + 1, out[2] + sub[2], out[3] + sub[3]]
+            return out
+
+        whole = count(root, False)
+        for n in order:
+            up, linked = n.parent, False
+            while up is not None:
+                linked, up = linked or up.tag == "a", up.parent
+            c, t, lc, lt = count(n, linked)
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == (c, t, lc, lt)
+            if c:
+                base = math.log(c / max(1, c - lc) * lc + whole[2] / max(1, whole[0]) * c + math.e)
+                ratio = c / max(1, lc) * max(1, t) / max(1, lt)
+                assert n.density == pytest.approx(c / max(1, t) * max(0.0, math.log(ratio) / math.log(base) if base > 1 else math.log(ratio)))
+
+
+def test_odd_tables_of_pages(spark):
+    schema = "page_id long, url string, html string, text int, n_chars string"
+    rows = [(1, "u", "<p>a", 1, "x"), (1, "u", "<p>a", 1, "x"), (None, None, None, None, None), (2, None, "", 1, "")]
+    got = sorted(map(str, html_text.extract(spark.createDataFrame(rows, schema)).collect()))
+    assert len(got) == 4 and got[0] == got[1] and "text='a', n_chars=1" in got[1]
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_pages_of_the_template(spark):
     from html import unescape
 
