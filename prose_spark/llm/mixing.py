@@ -4,12 +4,18 @@ Sizes are words. Sources in code-point order, null last, weigh 1, 2, 3, repeatin
 proportion; a target stops at three times its source's size and what it leaves is shared by weight among the others
 (the water level is that of the first source, sorted by size over weight, that it does not fill up).
 
-A source's documents are put in the order of a seeded hash and their words laid end to end, again and again: a
-source of size n and target t gives the first t words of that line, so a document is taken floor(t / n) or that plus 1
-times, the last one in part. The line is cut into blocks of a fixed number of words. The tree's root holds every source's
-number of blocks; each node splits its blocks between two halves of its shards by a multivariate-hypergeometric draw, seeded
-by the node's place, and the left half gets the first of each source's blocks. A leaf so has disjoint ranges
-of hash-ordered blocks, and quotas add up exactly. Any task can walk down to its shards: no driver loop, no state.
+A source's documents are put in the order of a seeded hash and their words laid end to end. This line is cut into blocks of
+a fixed number of words. A source of size n and target t gives every block floor(t / n) times and, in a last
+pass, as many blocks more as its target asks for, in the order of a seeded permutation of its blocks (the last one drawn is cut to the word). These
+draws are its quota. The tree's root holds every source's quota; each node splits its quotas between two halves of the
+shards by a multivariate-hypergeometric draw, seeded by the node's place, and a leaf takes from each source as many of the permuted draws
+as its quota says, next to those of the leaf before: disjoint, and exact in sum. A shard's pieces are shuffled by a
+seeded hash, `turn`.
+
+No task holds all sources: at every node of the tree the draw goes down a second tree, over the sources, from the sum of
+all to the single one; a source's task needs its own quota and the sums of the siblings on its path. Subtrees
+without a draw of the source are left out, and a source's walk is spread over the subtrees. Draws from more than 10^9 balls are put together from
+binomial ones, exactly.
 
 Places on the line come from two sums: within small hash buckets, and over the buckets of a source; so a source
 that holds a third of all rows is never in one task.
@@ -29,9 +35,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, word_count
 
-#: numpy's hypergeometric draws take fewer than 10^9 balls.
-MOST_BLOCKS = 500_000_000
-
 
 def targets(sized: DataFrame, limit: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """sized(source, size) -> a row per source: source, s (its number), source_size, target. Windows run over sources, not rows."""
@@ -75,39 +78,117 @@ def _placed(documents: DataFrame, seed: int, scratch: Scratch) -> tuple[DataFram
     return scratch.save(placed.select("s", "bucket", "nth", "doc_id", "h", "size", "source_size", "target", (F.col("base") + F.col("run") - F.col("size")).alias("place"))), sources
 
 
-def shard_blocks(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """quotas(s, blocks) -> (s, block, shard), every block in one shard: the leaves of the splitting tree."""
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """Good balls among `draws` of good + bad. numpy's own takes fewer than 10^9 of each: beyond that every ball is drawn
+    or not by itself, with the share that is wanted, and what is too many or too few, about the root of it, is drawn in turn."""
+    if good == 0 or draws == 0:
+        return 0
+    if bad == 0:
+        return draws
+    if max(good, bad) < 10**9:
+        return int(rng.hypergeometric(good, bad, draws))
+    if draws < 64:
+        got = 0
+        for n in range(draws):
+            got += int(rng.integers(good + bad - n) < good - got)
+        return got
+    share = draws / (good + bad)
+    g, b = int(rng.binomial(good, share)), int(rng.binomial(bad, share))
+    if g + b <= draws:
+        return g + hypergeometric(rng, good - g, bad - b, draws - g - b)
+    return g - hypergeometric(rng, g, b, g + b - draws)
+
+
+def permuted(places: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """Where a seeded permutation of 0 .. count - 1 takes these places: a Feistel network of four rounds on as many bits as
+    count needs, applied again while it leads out of the range. Any place can be asked for without the others."""
+    half = np.uint64(max(1, -(-(max(1, count - 1)).bit_length() // 2)))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> half, x & mask
+        for r in range(4):
+            mixed = (right + np.uint64((seed * 4 + r) % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((mixed ^ (mixed >> np.uint64(32))) & mask)
+        return left << half | right
+
+    out = once(places.astype(np.uint64))
+    while (away := out >= np.uint64(max(1, count))).any():
+        out[away] = once(out[away])
+    return out.astype(np.int64)
+
+
+def _drawn(first: int, count: int, size: int, take: int, block: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pass, block, words) of a source's draws first .. first + count - 1. The short last block of a line comes last in its pass."""
+    n_blocks = -(-size // block)
+    draws = first + np.arange(count, dtype=np.int64)
+    turn, place = draws // n_blocks, draws % n_blocks
+    number = place.copy()
+    for t in np.unique(turn):
+        own = (turn == t) & (place < n_blocks - 1)
+        number[own] = permuted(place[own], n_blocks - 1, seed + int(t))
+    words = np.minimum(block, size - number * block)
+    last = take // size  # the pass that is taken in part
+    return turn, number, np.where(turn == last, np.minimum(words, take - last * size - place * block), words)
+
+
+def _walk(seed: int, number: int, root: list[int], depth: int, top: int, index: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, first draw, draws) of one source below the node `index` at depth `top`. root: quotas of the source and of the nodes
+    around it in the tree over the sources, up to the sum of all."""
+
+    def split(at: int, place: int, counts: list[int]) -> list[int]:
+        """What the left half gets of each of these counts."""
+        left = [0] * len(counts)
+        left[-1] = counts[-1] - counts[-1] // 2
+        for level in range(len(counts) - 2, -1, -1):
+            own, other, draws = counts[level], counts[level + 1] - counts[level], left[level + 1]
+            right_hand = (number >> level) & 1  # the draw is for the even child, whichever holds this source
+            rng = np.random.default_rng([seed, at, place, level, number >> (level + 1)])
+            even = hypergeometric(rng, *((other, own) if right_hand else (own, other)), draws)
+            left[level] = draws - even if right_hand else even
+        return left
+
+    counts, first = root, 0
+    for at in range(top):
+        left = split(at, index >> (top - at), counts)
+        if index >> (top - at - 1) & 1:
+            counts, first = [c - x for c, x in zip(counts, left)], first + left[0]
+        else:
+            counts = left
+    stack = [(top, index, counts, first)]
+    while stack:
+        at, place, counts, first = stack.pop()
+        if not counts[0]:
+            continue
+        if at == depth:
+            yield place, first, counts[0]
+            continue
+        left = split(at, place, counts)
+        stack.append((at + 1, 2 * place + 1, [c - x for c, x in zip(counts, left)], first + left[0]))
+        stack.append((at + 1, 2 * place, left, first))
+
+
+def shard_blocks(quotas: DataFrame, shards: int, seed: int, block: int) -> DataFrame:
+    """quotas(s, size, take, quota) -> (s, pass, block, words, shard): the draws of every source, each in one shard."""
+    depth = shards.bit_length() - 1
+    top = max(0, depth - 8)  # a row of work is the 256 shards, or fewer, below one node
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-        def node(depth: int, index: int, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """First block and number of blocks, by source, of a node."""
-            if depth == 0:
-                return np.zeros_like(root), root
-            if (depth, index) not in known:
-                if len(known) > 4096:
-                    known.clear()
-                first, count = node(depth - 1, index // 2, root)
-                total = int(count.sum())
-                rng = np.random.default_rng([seed, depth - 1, index // 2])
-                left = rng.multivariate_hypergeometric(count, total - total // 2, method="marginals") if total else count * 0
-                known[depth, index - index % 2] = (first, left)
-                known[depth, index - index % 2 + 1] = (first + left, count - left)
-            return known[depth, index]
-
-        depth = shards.bit_length() - 1
         for batch in batches:
-            for shard, numbers, blocks in zip(*(batch.column(c).to_pylist() for c in ("shard", "numbers", "blocks"))):
-                first, count = node(depth, shard, np.array(blocks, np.int64))
-                s = np.repeat(np.array(numbers, np.int64), count)
-                block = np.arange(len(s)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(block), pa.array(np.full(len(s), shard, np.int64))], ["s", "block", "shard"])
+            for s, size, take, root, item in zip(*(batch.column(c).to_pylist() for c in ("s", "size", "take", "around", "item"))):
+                for shard, first, count in _walk(seed, s, root, depth, top, item):
+                    cols = _drawn(first, count, size, take, block, seed * 1000 + s * 10)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(count, s)), *map(pa.array, cols), pa.array(np.full(count, shard))], ["s", "pass", "block", "words", "shard"])
 
-    root = quotas.agg(F.sort_array(F.collect_list(F.struct("s", "blocks"))).alias("q"))  # a number per source
-    leaves = root.select(F.col("q.s").alias("numbers"), F.col("q.blocks").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    leaves = leaves.repartition(min(shards, 64), "shard").sortWithinPartitions("shard") if shards > 1 else leaves
-    return leaves.mapInArrow(run, "s long, block long, shard long")
+    n = (quotas.agg(F.max("s")).first()[0] or 0) + 1
+    path = F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1).bit_length()))).alias("level")
+    above = quotas.select("s", "quota", path).withColumn("node", F.expr("shiftright(s, level)"))
+    sums = above.groupBy("level", "node").agg(F.sum("quota").alias("total"))
+    around = above.join(sums, ["level", "node"]).groupBy("s").agg(F.sort_array(F.collect_list(F.struct("level", "total")))["total"].alias("around"))
+    work = quotas.join(around, "s").filter("quota > 0").withColumn("item", F.explode(F.sequence(F.lit(0), F.lit((1 << top) - 1))))
+    tasks = max(1, min(n << top, 2 * quotas.sparkSession.sparkContext.defaultParallelism))
+    return work.repartition(tasks, "s", "item").select("s", "size", "take", "around", "item").mapInArrow(run, "s long, pass long, block long, words long, shard long")
 
 
 def mix(documents: DataFrame, seed: int = 17, block_words: int = 4096, shard_blocks_each: int = 256) -> tuple[DataFrame, DataFrame]:
@@ -116,48 +197,58 @@ def mix(documents: DataFrame, seed: int = 17, block_words: int = 4096, shard_blo
     scratch = Scratch(documents.sparkSession, "mixing")
     placed, sources = _placed(documents, seed, scratch)
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    while total // block_words + sources.count() > MOST_BLOCKS:
-        block_words *= 2
     shards = 1 << max(0, -(-total // (block_words * shard_blocks_each)) - 1).bit_length()
-    take = F.round("target").cast("long")
-    blocks = scratch.save(shard_blocks(sources.select(F.col("s").cast("long").alias("s"), F.ceil(take / block_words).cast("long").alias("blocks")), shards, seed))
+    quotas = sources.select(F.col("s").cast("long").alias("s"), F.col("source_size").cast("long").alias("size"), F.round("target").cast("long").alias("take")).filter("size > 0")
+    each = f"(take div size) * ceil(size / {block_words}) + ceil((take % size) / {block_words})"
+    blocks = scratch.save(shard_blocks(scratch.save(quotas.withColumn("quota", F.expr(each).cast("long"))), shards, seed, block_words))
 
     key = ["s", "bucket", "nth"]
-    begin = F.col("pass") * F.col("source_size") + F.col("place")
-    drawn = placed.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.floor(F.col("target") / F.col("source_size")).cast("int"))))
-    drawn = drawn.select(*key, "doc_id", "h", "pass", begin.alias("begin"), F.least(begin + F.col("size"), take).alias("end")).filter("begin < end")
-    cut = drawn.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block_words), F.floor((F.col("end") - 1) / block_words))))
-    low, high = F.greatest("begin", F.col("block") * block_words), F.least("end", (F.col("block") + 1) * block_words)
-    cut = cut.select(*key, "doc_id", "h", "pass", "block", (low - F.col("begin")).alias("first"), (high - low).alias("words"))
-    where = blocks.select(F.col("s").alias("_s"), F.col("block").alias("_block"), "shard")
-    pieces = cut.join(where.hint("shuffle_merge"), (F.col("s") == F.col("_s")) & (F.col("block") == F.col("_block"))).drop("_s", "_block")
+    spread = F.explode(F.expr(f"sequence(place div {block_words}, (place + size - 1) div {block_words})")).alias("block")
+    laid = placed.filter("size > 0").select(*key, "doc_id", "h", "place", "size", spread)
+    drawn = blocks.select(F.col("s").alias("_s"), F.col("block").alias("_block"), "pass", "words", "shard")
+    met = laid.join(drawn.hint("shuffle_merge"), (F.col("s") == F.col("_s")) & (F.col("block") == F.col("_block")))
+    begin = F.col("block") * block_words
+    low, high = F.greatest("place", begin), F.least(F.col("place") + F.col("size"), begin + F.col("words"))
+    pieces = met.filter(low < high).select(*key, "doc_id", "h", "pass", "block", (low - F.col("place")).alias("first"), (high - low).alias("words"), "shard")
     return placed, pieces.withColumn("turn", F.xxhash64("doc_id", "h", "pass", "block", F.lit(seed + 1)))
 
 
 def mix_report(documents: DataFrame, **how: int) -> DataFrame:
-    """doc_id, size, source_size, target, taken: a row per document, the untaken too."""
+    """doc_id, size, source_size, target, taken, first_shard (of the first piece of the first pass that takes one; null if none), n_shards:
+    a row per document, the untaken too."""
     placed, pieces = mix(documents, **how)
     own = ["s", "bucket", "nth"]
-    keep = ["doc_id", "size", "source_size", "target"]
-    rows = placed.select(*own, *keep, F.lit(0).cast("long").alias("words"))
-    more = pieces.select(*own, "words").select(*own, *[F.lit(None).cast(t).alias(c) for c, t in zip(keep, ("long", "long", "long", "double"))], "words")
-    out = rows.unionByName(more).groupBy(*own).agg(*[F.max(c).alias(c) for c in keep], F.sum("words").alias("taken"))
-    return out.select(*keep, "taken")
+    keep = {"doc_id": "long", "size": "long", "source_size": "long", "target": "double"}
+    rows = placed.select(*own, *keep, F.lit(0).cast("long").alias("words"), *[F.lit(None).cast("long").alias(c) for c in ("pass", "block", "shard")])
+    more = pieces.select(*own, *[F.lit(None).cast(t).alias(c) for c, t in keep.items()], "words", "pass", "block", "shard")
+    out = rows.unionByName(more).groupBy(*own)
+    at = F.min(F.when(F.col("shard").isNotNull(), F.struct("pass", "block", "shard")))["shard"]
+    out = out.agg(*[F.max(c).alias(c) for c in keep], F.sum("words").alias("taken"), at.alias("first_shard"), F.size(F.collect_set("shard")).cast("long").alias("n_shards"))
+    return out.select(*keep, "taken", "first_shard", "n_shards")
 
 
 def mixed_documents(documents: DataFrame, **how: int) -> DataFrame:
-    """The mix as rows of `documents`, in one row per pass: all columns, the text cut to the words that the pass takes (and n_chars to the text).
-    Rows equal in doc_id and text share one of them as their source of other columns."""
+    """The mix as rows of `documents`, all columns: each shard's rows together, in their shuffled order.
+
+    What a pass takes of a document is one row where its pieces adjoin (whole documents, nearly always) and goes to the shard of the first of
+    them; the text is cut to these words and n_chars follows it. Null and empty texts are never taken; repeated rows are taken each; rows equal in
+    doc_id and text share one of them as their source of other columns; an empty table gives no rows."""
     _, pieces = mix(documents, **how)
     own = ["s", "bucket", "nth", "pass"]
-    taken = pieces.groupBy(*own, "doc_id", "h").agg(F.sum("words").alias("words"), F.min(F.struct("shard", "turn")).alias("at"))
-    taken = taken.select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "words")
-    whole = documents.select(
-        F.struct(*[documents[c] for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
-    ).dropDuplicates(["doc_id", "h"])
-    joined = whole.join(taken.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")))
+    up_to = Window.partitionBy(*own).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("island", F.col("first") - F.coalesce(F.sum("words").over(up_to), F.lit(0)))
+    begin = F.min(F.struct("first", "shard", "turn")).alias("at")
+    taken = pieces.groupBy(*own, "island", "doc_id", "h").agg(F.sum("words").alias("words"), begin)
+    ids = lambda: [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h"]
+    taken = taken.select(*ids(), "words", F.col("at.first").alias("first"), F.col("at.shard").alias("shard"), F.col("at.turn").alias("turn"))
+    row = F.struct(*[documents[c] for c in documents.columns]).alias("row")
+    whole = documents.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    whole = whole.select("row", *ids()).dropDuplicates(["no_id", "id", "h"])
+    joined = whole.join(taken.hint("shuffle_merge"), ["no_id", "id", "h"])
+    joined = joined.select("row", "words", "first", "shard", "turn").repartition("shard").sortWithinPartitions("shard", "turn")
     text = F.col("row.text")
-    head = F.rtrim(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("words").cast("int")), ""))
-    text = F.when(F.col("words") == word_count(text), text).otherwise(head)
+    words = F.regexp_extract_all(text, F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.rtrim(F.array_join(F.slice(words, F.col("first").cast("int") + 1, F.col("words").cast("int")), ""))
+    text = F.when(F.col("words") == word_count(text), text).otherwise(part)
     fresh = {"text": text, "n_chars": F.length(text).cast("long")}
     return joined.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in documents.columns])

@@ -131,12 +131,67 @@ def test_mixing_targets_and_takings(spark):
 
 
 def test_splitting_tree_is_exact(spark):
-    quotas = spark.createDataFrame([(0, 37), (1, 5), (2, 0), (3, 100)], "s long, blocks long")
-    for shards in (1, 2, 8):
-        got = mixing.shard_blocks(quotas, shards, 5).collect()
-        assert sorted((r["s"], r["block"]) for r in got) == [(s, b) for s, n in ((0, 37), (1, 5), (3, 100)) for b in range(n)]
-        sizes = Counter(r["shard"] for r in got)
-        assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == shards
+    sizes = {0: (370, 3 * 370), 1: (45, 30), 3: (1000, 2345), 4: (8, 3)}
+    each = lambda n, t: t // n * -(-n // 10) + -(-(t % n) // 10)
+    quotas = spark.createDataFrame([(s, n, t, each(n, t)) for s, (n, t) in sizes.items()], "s long, size long, take long, quota long")
+    for shards in (1, 2, 8, 1024):
+        got = mixing.shard_blocks(quotas, shards, 5, 10).collect()
+        for s, (n, t) in sizes.items():
+            own = [r for r in got if r["s"] == s]
+            assert sum(r["words"] for r in own) == t and len({(r["pass"], r["block"]) for r in own}) == len(own) == each(n, t)
+            for p in range(t // n):  # every block of a full pass, whole
+                assert sorted((r["block"], r["words"]) for r in own if r["pass"] == p) == [(b, min(10, n - 10 * b)) for b in range(-(-n // 10))]
+        totals = Counter(r["shard"] for r in got)
+        assert max(totals.values()) - min(totals.get(x, 0) for x in range(shards)) <= 1
+    part = [sorted(r["block"] for r in mixing.shard_blocks(quotas, 8, seed, 10).collect() if r["s"] == 3 and r["pass"] == 2) for seed in (5, 6)]
+    assert part[0] != part[1] and part[0] != list(range(len(part[0])))  # permuted draws, not the line's first blocks
+
+
+def test_every_source_sees_the_same_draws():
+    """The walk of single sources agrees at every node with one that holds them all: halves add up, for any number of sources."""
+    rng = random.Random(4)
+    for n in (1, 2, 5, 8):
+        quotas = [rng.randint(0, 40) for _ in range(n)]
+        top = max(0, n - 1).bit_length()
+        around = lambda s: [sum(q for i, q in enumerate(quotas) if i >> k == s >> k) for k in range(top + 1)]
+        got = defaultdict(dict)
+        for s in range(n):
+            for shard, first, count in mixing._walk(9, s, around(s), 4, 0, 0):
+                assert first == sum(got[x].get(s, 0) for x in range(shard))
+                got[shard][s] = count
+            below = sorted(x for item in range(4) for x in mixing._walk(9, s, around(s), 4, 2, item))
+            assert below == [(x, sum(got[y].get(s, 0) for y in range(x)), got[x][s]) for x in range(16) if got[x].get(s)]
+        sizes = [sum(got[x].values()) for x in range(16)]
+        assert max(sizes) - min(sizes) <= 1 and [sum(got[x].get(s, 0) for x in range(16)) for s in range(n)] == quotas
+
+
+def test_hypergeometric_draws_of_any_size():
+    rng = np.random.default_rng(1)
+    for good, bad, draws in ((5 * 10**9, 10**9, 3 * 10**9), (10**12, 10**12, 50), (2 * 10**9, 3, 10**9)):
+        got = np.array([mixing.hypergeometric(rng, good, bad, draws) for _ in range(400)], float)
+        p, n = good / (good + bad), good + bad
+        sd = np.sqrt(draws * p * (1 - p) * (n - draws) / (n - 1))
+        assert abs(got.mean() - draws * p) < 4 * sd / 20 + 1e-9 and 0.8 * sd <= got.std() <= 1.25 * sd
+    for n in (1, 2, 3, 17, 64, 1000):
+        assert sorted(mixing.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
+
+
+def test_shards_are_the_trees_and_shuffled_inside(spark):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(30))) for i in range(400)]
+    df = table(spark, rows)
+    how = {"block_words": 64, "shard_blocks_each": 8}
+    got = {r["doc_id"]: r for r in mixing.mix_report(df, **how).collect()}
+    _, pieces = mixing.mix(df, **how)
+    first = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r["pass"], r["block"])):
+        first.setdefault(r["doc_id"], r["shard"])
+    assert {i: r["first_shard"] for i, r in got.items() if r["taken"]} == first and len(set(first.values())) > 8
+    other = {r["doc_id"]: (r["first_shard"], r["taken"]) for r in mixing.mix_report(df, seed=18, **how).collect()}
+    assert other != {i: (r["first_shard"], r["taken"]) for i, r in got.items()}
+    out = mixing.mixed_documents(df, **how).select("doc_id", F.spark_partition_id().alias("part"), F.size(F.split("text", " ")).alias("n")).collect()
+    assert sum(r["n"] for r in out) == sum(r["taken"] for r in got.values()) and max(Counter(r["doc_id"] for r in out).values()) <= 8
+    ids = [r["doc_id"] for r in out]
+    assert ids != sorted(ids)
 
 
 # ---- language ID
