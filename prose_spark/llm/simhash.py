@@ -16,6 +16,9 @@ under a second covering with other vectors, into buckets within the bucket, and
 pair within the radius together, nothing is lost; members of one bucket agree in more bits at each level, so that
 few different fingerprints can remain. Nothing is capped.
 
+Near dedup (`near_dedup`) takes the same covering for candidates, over several fingerprints of a text's words, and compares the shingles of
+every candidate pair exactly inside its bucket before any two texts are linked.
+
 Components: links are contracted by repeated minimum-neighbour steps (large-star, small-star), with a table
 written to the shared folder after every round.
 
@@ -25,8 +28,10 @@ rows that repeat a doc_id each give a row; an empty table gives no rows; other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,29 +39,32 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower
+from .common import Scratch
 
 
-def vote(features: list[bytes]) -> int:
-    """The fingerprint of a list of features."""
-    votes = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, len(features), 4096):
-        h = np.fromiter((digest(s, 42) for s in features[at : at + 4096]), np.uint64)
+def vote(features: Iterable[bytes]) -> int:
+    """The fingerprint of features, repeats counted; read in stretches, so that a long text's are never held at once."""
+    votes, total, digest, features = np.zeros(64, np.int64), 0, xxhash.xxh64_intdigest, iter(features)
+    while len(h := np.fromiter((digest(s, 42) for s in islice(features, 4096)), np.uint64)):
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(features), bitorder="little").tobytes(), "little") if features else 0
+        total += len(h)
+    return int.from_bytes(np.packbits(votes * 2 > total, bitorder="little").tobytes(), "little")
+
+
+def _words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split() if text else []
+
+
+def _runs(words: list[bytes], size: int) -> Iterable[bytes]:
+    """Shingles of so many words, repeats included; of fewer words, all of them as one; of none, none."""
+    if len(words) <= size:
+        return [b" ".join(words)] if words else []
+    return map(b" ".join, zip(*(islice(words, i, None) for i in range(size))))
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The fingerprint of one text, as an unsigned integer."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return 0
-    if len(words) < shingle:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    return vote(shingles)
+    return vote(_runs(_words(text), shingle))
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
@@ -106,7 +114,7 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def link_fingerprints(fps: DataFrame, radius: int, scratch: Scratch, bucket: int = 4096, levels: int = 6) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int, scratch: Scratch, bucket: int = 4096) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that connect exactly what pairs within the radius connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +128,7 @@ def link_fingerprints(fps: DataFrame, radius: int, scratch: Scratch, bucket: int
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows, links = fps.select("fp", F.lit(0).cast("long").alias("key")), []
-    for level in range(levels):
+    for level in count():
         masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius, level)])
         keyed = rows.select("fp", "key", F.posexplode(masks).alias("table", "mask"))
         keyed = keyed.select("fp", F.xxhash64(F.lit(level), "key", "table", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
@@ -128,11 +136,10 @@ def link_fingerprints(fps: DataFrame, radius: int, scratch: Scratch, bucket: int
         sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sizes = scratch.save(sizes.select(F.col("key").alias("_key"), "n"))
         met = scratch.save(keyed.join(sizes.hint("shuffle_merge"), F.col("key") == F.col("_key")).select("key", "fp", "n"))
-        last = level == levels - 1  # by then the members of a bucket agree in all but a few bits
-        small = met if last else met.filter(F.col("n") <= bucket)
+        small = met.filter(F.col("n") <= bucket)
         links.append(small.groupBy("key").agg(F.collect_list("fp").alias("all")).select("all").mapInArrow(run, "a long, b long").distinct())
         rows = met.filter(F.col("n") > bucket).select("fp", "key")
-        if last or rows.isEmpty():
+        if rows.isEmpty():  # different fingerprints: each level leaves a bucket about half as many bits to differ in
             break
     return reduce(DataFrame.unionByName, links).distinct()
 
@@ -173,105 +180,203 @@ def near_groups(documents: DataFrame, shingle: int = 3, radius: int = 2) -> Data
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingles(text: str | None, size: int) -> list[bytes]:
-    """The different shingles of a text: of so many words, or of all words if they are fewer."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return []
-    if len(words) <= size:
-        return [b" ".join(words)]
-    return list(set(map(b" ".join, zip(*(words[i:] for i in range(size))))))
-
+def word_prints(words: list[bytes], prints: int) -> list[int]:
+    """Independent 64-bit fingerprints of a bag of words, each word weighted by the root of its count. Texts with most of their
+    five-word shingles in common have nearly the same words, and so differ in a few bits; shingles themselves would differ in ten."""
+    bag = Counter(words)
+    weights = np.rint(16 * np.sqrt(np.fromiter(bag.values(), np.float64, len(bag))))
+    votes = np.zeros((prints, 64))
+    features = iter(bag)
+    for at in range(0, len(bag), 4096):
+        own = weights[at : at + 4096]
+        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in islice(features, 4096)), np.uint64, len(own))
+        for p in range(prints):
+            x = h + np.uint64(p * 0x9E3779B97F4A7C15 % 2**64)
+            if p:
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x ^= x >> np.uint64(31)
+            votes[p] += own @ np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+    return [int.from_bytes(np.packbits(v * 2 > weights.sum(), bitorder="little").tobytes(), "little") for v in votes]
+
+
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted 32-bit hashes of the different shingles."""
+    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, _runs(words, size)), "<u4"))
+
+
+def _canonical(fps: np.ndarray, radius: int, earlier: np.ndarray) -> np.ndarray:
+    """Which members of a bucket have a partner within the radius that no earlier table has brought them together with."""
+    i, j = np.triu_indices(len(fps), 1)
+    away = fps[i] ^ fps[j]
+    near = np.bitwise_count(away) <= radius
+    i, j, away = i[near], j[near], away[near]
+    for m in earlier:
+        if not len(away):
+            break
+        fresh = (away & m) != 0
+        i, j, away = i[fresh], j[fresh], away[fresh]
+    return np.unique(np.concatenate([i, j]))
+
+
+def candidate_buckets(fps: DataFrame, radius: int, scratch: Scratch, bucket: int = 1024) -> DataFrame:
+    """Different fingerprints (print, fp) -> (bucket, print, fp) so that any two of one print within the radius are in one bucket together;
+    members without such a partner are left out, as are those whose partners all meet them in an earlier table."""
+    levels: list[DataFrame] = []
+    rows = fps.select("print", "fp", F.lit(0).cast("long").alias("key"))
+    for level in count():
+        masks = covering_masks(radius, level)
+        tables = F.array(*[F.lit(_signed(m)) for m in masks])
+        keyed = rows.select("print", "fp", "key", F.posexplode(tables).alias("table", "mask"))
+        keyed = keyed.select("print", "fp", "table", F.xxhash64(F.lit(level), "print", "key", "table", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sizes = scratch.save(sizes.select(F.col("key").alias("_key"), "n"))
+        met = scratch.save(keyed.join(sizes.hint("shuffle_merge"), F.col("key") == F.col("_key")).drop("_key"))
+        every = np.array(masks, np.uint64)
+
+        def run(batches: Iterator[pa.RecordBatch], every: np.ndarray = every) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, prints, tables = (batch.column(c).to_numpy() for c in ("key", "print", "table"))
+                out: list[tuple[int, int, np.ndarray]] = []
+                for k, p, t, all_ in zip(keys.tolist(), prints.tolist(), tables.tolist(), batch.column("all")):
+                    own = np.sort(all_.values.to_numpy()).view(np.uint64)
+                    if len(own) == 2:  # most are
+                        away = own[0] ^ own[1]
+                        if int(away).bit_count() > radius or t and ((every[:t] & away) == 0).any():
+                            continue
+                    elif len(stay := _canonical(own, radius, every[:t])):
+                        own = own[stay]
+                    else:
+                        continue
+                    out.append((k, p, own))
+                n = [len(o) for _, _, o in out]
+                flat = np.concatenate([o for _, _, o in out]).view(np.int64) if out else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.array([k for k, _, _ in out], np.int64), n)), pa.array(np.repeat(np.array([p for _, p, _ in out], np.int32), n)), pa.array(flat)], ["bucket", "print", "fp"]
+                )
+
+        small = met.filter(F.col("n") <= bucket).groupBy("key", "print", "table").agg(F.collect_list("fp").alias("all"))
+        levels.append(scratch.save(small.mapInArrow(run, "bucket long, print int, fp long")))
+        rows = met.filter(F.col("n") > bucket).select("print", "fp", "key")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
+def _verified(units: DataFrame, radius: int, least: float) -> DataFrame:
+    """units(unit, side, cross, node, fp, set) -> links (a, b) that connect exactly what pairs of one unit connect whose fingerprints are within the radius
+    and whose sets have a Jaccard similarity of `least`; of crossing units, pairs of two sides. Pairs that are connected by then aren't compared."""
+
+    def similar(u: np.ndarray, v: np.ndarray) -> bool:
+        if min(len(u), len(v)) < least * max(len(u), len(v)):
+            return False
+        both = len(np.intersect1d(u, v, assume_unique=True))
+        return both >= least * (len(u) + len(v) - both)
+
+    def links(members: list[tuple[int, int, bool, int, bytes]]) -> Iterator[tuple[int, int]]:
+        members.sort(key=lambda m: m[0])
+        fps = np.array([m[3] for m in members], np.int64).view(np.uint64)
+        sides, cross = np.array([m[1] for m in members]), members[0][2]
+        sets = [np.frombuffer(m[4], "<u4") for m in members]
+        label = np.arange(len(members))
+        for i in range(1, len(members)):
+            away = np.bitwise_count(fps[:i] ^ fps[i])
+            near = np.nonzero((away <= radius) & (sides[:i] != sides[i]) if cross else away <= radius)[0]
+            for j in near[np.argsort(away[near], kind="stable")].tolist():
+                if label[i] != label[j] and similar(sets[i], sets[j]):
+                    label[label == label[i]] = label[j]
+                    yield members[i][0], members[j][0]
 
-def _keys() -> list[Column]:
-    """doc_id and node: a node is a text's sequence of lower-cased words."""
-    node = F.xxhash64(F.regexp_replace(F.trim(F.regexp_replace(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x09-\x0D]", " ")), " +", " "))
-    return [F.col("doc_id").cast("long").alias("doc_id"), node.alias("node")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, members = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for u, *member in zip(*(batch.column(c).to_pylist() for c in ("unit", "node", "side", "cross", "fp", "set"))):
+                if u != unit:
+                    found += links(members) if len(members) > 1 else []
+                    unit, members = u, []
+                members.append(tuple(member))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+        found = list(links(members)) if len(members) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    dealt = units.repartition("unit").sortWithinPartitions("unit")
+    return dealt.select("unit", "node", "side", "cross", "fp", "set").mapInArrow(run, "a long, b long")
+
+
+def _units(buckets: DataFrame, members: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """Buckets of fingerprints and the nodes that have them (print, fp, node) -> (unit, side, cross, node, fp): a bucket of at most `most` nodes is a unit.
+    A larger one, where many texts share fingerprints, is dealt into blocks; each block, and each two of them, are a unit."""
+    twins = members.groupBy("print", "fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twins = twins.select(F.xxhash64(F.lit("same"), "print", "fp").alias("bucket"), "print", "fp")
+    # Written first: a join of two plain exchanges can be split where one fingerprint has many nodes.
+    all_ = scratch.save(buckets.unionByName(twins)).select("bucket", F.col("print").alias("_print"), F.col("fp").alias("_fp"))
+    rows = members.join(all_.hint("shuffle_merge"), (F.col("print") == F.col("_print")) & (F.col("fp") == F.col("_fp")))
+    rows = scratch.save(rows.select("bucket", "node", "fp"))
+    sizes = scratch.save(rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("n")))
+    rows = rows.join(sizes.hint("shuffle_merge"), F.col("bucket") == F.col("_bucket")).withColumn("blocks", F.ceil(F.col("n") / most).cast("long"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    unit = F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other"))
+    return rows.select(unit.alias("unit"), "side", (F.col("side") != F.col("other")).alias("cross"), "node", "fp")
+
+
+def near_links(documents: DataFrame, shingle: int, similarity: float, radius: int, prints: int, scratch: Scratch, most: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): node, doc_id, h (of the smallest row that has it); links connect nodes whose shingles have that similarity.
+
+    A node is a text's sequence of lower-cased words, named by its hash; copies are one node."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                words = list(map(_words, part.column("text").to_pylist()))
+                node = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
+                fps = np.array([word_prints(w, prints) for w in words], np.uint64).reshape(-1, prints).view(np.int64)
+                own = pa.FixedSizeListArray.from_arrays(pa.array(fps.ravel()), prints).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(node), own], ["doc_id", "h", "node", "fps"])
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(_words(t), shingle).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
+
+    texts = documents.select(*_row_key(), F.col("text").cast("string").alias("text"))
+    rows = scratch.save(texts.mapInArrow(read, "doc_id long, h long, node long, fps array<long>"))
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("fps").alias("fps"))
+    nodes = scratch.save(nodes.select("node", "first.doc_id", "first.h", "fps"))
+    members = scratch.save(nodes.select("node", F.posexplode("fps").alias("print", "fp")))
+    buckets = candidate_buckets(members.select("print", "fp").distinct(), radius, scratch)
+    units = scratch.save(_units(buckets, members, most, scratch))
+
+    wanted = nodes.join(units.select(F.col("node").alias("_node")).distinct().hint("shuffle_merge"), F.col("node") == F.col("_node"))
+    wanted = scratch.save(wanted.select("node", F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h")))
+    # No hint: while they are few, Spark may send these rows to the texts; else both sides are shuffled.
+    whole = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")))
+    sets = scratch.save(whole.select("node", "text").mapInArrow(gather, "node long, set binary").dropDuplicates(["node"]))
+    placed = units.join(sets.withColumnRenamed("node", "_node").hint("shuffle_merge"), F.col("node") == F.col("_node"))
+    return nodes, scratch.save(_verified(placed, radius, similarity))
 
-def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(*_keys(), F.col("text").cast("string").alias("text"))
 
+def _row_key() -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
 
-def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """links (a, b) between nodes whose sets (node, set: sorted 32-bit hashes) have a Jaccard similarity of `least` or more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                u, v = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                good.append(both >= least * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    one = links.join(sets.select(F.col("node").alias("_a"), F.col("set").alias("x")).hint("shuffle_merge"), F.col("a") == F.col("_a")).drop("_a")
-    two = one.join(sets.select(F.col("node").alias("_b"), F.col("set").alias("y")).hint("shuffle_merge"), F.col("b") == F.col("_b")).drop("_b")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _across(nodes: DataFrame, sets: DataFrame, candidates: DataFrame, groups: DataFrame, least: float, radius: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of nodes within the radius, of one component of candidates but of different groups so far; without those
-    whose sets are of too different sizes to be similar.
-
-    A forest links what candidates connect, but once its dissimilar links are struck out, pairs that it left out matter. Pairs
-    within a group would connect nothing new."""
-    named = lambda t, c: t.select(F.col("node").alias("_node"), F.col("root").alias(c)).hint("shuffle_merge")
-    at = nodes.select("node", "fp").join(named(candidates, "within"), F.col("node") == F.col("_node")).drop("_node")
-    at = at.join(named(groups, "root"), F.col("node") == F.col("_node"), "left").withColumn("group", F.coalesce("root", "node")).drop("_node", "root")
-    at = scratch.save(at)
-    mixed = at.groupBy("within").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select(F.col("within").alias("_within"))
-    size = sets.select(F.col("node").alias("_node"), F.octet_length("set").alias("size"))
-    at = at.join(mixed.hint("shuffle_merge"), F.col("within") == F.col("_within")).join(size.hint("shuffle_merge"), F.col("node") == F.col("_node"))
-    at = scratch.save(at.select("within", "group", "node", "fp", "size"))
-    pairs = at.alias("x").join(at.alias("y").hint("shuffle_merge"), "within").filter("x.group < y.group")
-    pairs = pairs.filter((F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius) & (F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size")))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-
-def near_dedup(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
+def near_dedup(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, prints: int = 3) -> DataFrame:
     """The documents' own columns; of each group the row with the smallest doc_id stays, once.
 
-    A group is connected by texts whose different shingles have that Jaccard similarity. SimHash gives the candidates: its
-    features here are a text's different words, so that texts with most shingles in common are few bits apart. An exact
-    comparison of the shingles follows: first along the links of the candidates' spanning forest, then, where those leave a
-    component of candidates in several groups, of all pairs within the radius that lie in different groups (`_across`)."""
-    scratch = Scratch(documents.sparkSession, "near-dedup")
+    A group is connected by pairs of texts whose different shingles have that Jaccard similarity. Candidates are texts of which one of
+    `prints` fingerprints of the words is within the radius; every such pair's shingles are compared before it may link.
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([vote(_shingles(t, 1)) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(fps)], ["doc_id", "node", "fp"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashed = lambda t: np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in _shingles(t, shingle)), "<u4")).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(hashed, batch.column("text").to_pylist()), pa.binary())], ["node", "set"])
-
-    rows = scratch.save(_texts(documents).mapInArrow(prints, "doc_id long, node long, fp long"))
-    nodes = scratch.save(rows.groupBy("node").agg(F.min(F.struct("doc_id")).alias("first"), F.first("fp").alias("fp")))
-    faces = scratch.save(nodes.groupBy("fp").agg(F.min("node").alias("face")))
-    links = link_fingerprints(faces.select("fp"), radius, scratch)
-    face = lambda c: faces.select(F.col("fp").alias(f"_{c}"), F.col("face").alias(f"node_{c}")).hint("shuffle_merge")
-    links = links.join(face("a"), F.col("a") == F.col("_a")).join(face("b"), F.col("b") == F.col("_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    twins = nodes.join(faces.select(F.col("fp").alias("_fp"), "face").hint("shuffle_merge"), F.col("fp") == F.col("_fp")).filter("node <> face")
-    links = scratch.save(links.unionByName(twins.select(F.col("node").alias("a"), F.col("face").alias("b"))))
-
-    wanted = links.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    wanted = nodes.join(wanted.hint("shuffle_merge"), F.col("node") == F.col("_node")).select(F.col("node").alias("_node"), F.col("first.doc_id").alias("_doc_id"))
-    whole = _texts(documents).join(wanted.hint("shuffle_merge"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    sets = scratch.save(whole.select("node", "text").mapInArrow(gather, "node long, set binary").dropDuplicates(["node"]))
-    good = scratch.save(_similar(links, sets, similarity))
-    member = components(good, scratch)
-    rest = scratch.save(_across(nodes, sets, components(links, scratch), member, similarity, radius, scratch))
-    if not rest.isEmpty():
-        more = scratch.save(_similar(rest, sets, similarity))
-        if not more.isEmpty():
-            member = components(good.unionByName(more), scratch)
-
-    placed = nodes.join(member.withColumnRenamed("node", "_node").hint("shuffle_merge"), F.col("node") == F.col("_node"), "left")
-    stay = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("first.doc_id", "node")).alias("at"))
-    stay = scratch.save(stay.select(F.col("at.doc_id").alias("_doc_id"), F.col("at.node").alias("_node")))
-    own = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), *_keys())
-    kept = own.join(stay.hint("shuffle_merge"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).dropDuplicates(["doc_id", "node"])
+    Null and empty texts, and those without a word, are one group; a null doc_id is the smallest; of rows equal in doc_id and text
+    one stays; of rows that tie in doc_id the smaller hash of the text stays; an empty table gives no rows."""
+    scratch = Scratch(documents.sparkSession, "near-dedup")
+    nodes, links = near_links(documents, shingle, similarity, radius, prints, scratch)
+    member = components(links, scratch).withColumnRenamed("node", "_node")
+    placed = nodes.join(member.hint("shuffle_merge"), F.col("node") == F.col("_node"), "left")
+    ids = lambda: [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h"]
+    stay = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "h")).alias("at")).select("at.doc_id", "at.h")
+    stay = scratch.save(stay.select(*ids()))
+    own = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), *_row_key()).select("row", *ids())
+    kept = own.dropDuplicates(["no_id", "id", "h"]).join(stay.hint("shuffle_merge"), ["no_id", "id", "h"])
     return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])
