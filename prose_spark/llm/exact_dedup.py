@@ -6,6 +6,10 @@ names are paired and each distinct pair gets one integer name, until a document
 documents of one block count have the same last name if and only if their bytes are equal: names come
 from comparing contents, so no two contents can share one.
 
+Rows equal in doc_id and SHA-256 are counted as one document first, so that no row is gathered more often than its document. The
+contents of blocks travel once, to be compared: blocks of one content get one name, and where all blocks of one 64-bit hash are
+found to have the same content, documents look the name up by the hash; where not, by the bytes.
+
 A block (or pair) that occurs once in the corpus needs no name: its document equals no other and leaves.
 So what goes on from level to level is only what could still be a copy.
 
@@ -24,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, ascii_lower
 
 
+#: The right half of a pair that has none; no name is this.
+NOTHING = -(2**63)
+
+
 def _blocks(binary: Column, size: int) -> Column:
     """The blocks of a binary, the last one shorter; at least one. The lambda binds the binary so that it is made once."""
     return F.element_at(
@@ -50,29 +58,51 @@ def _named(rows: DataFrame, key: list[str], scratch: Scratch) -> DataFrame:
         .sortWithinPartitions(*key)
         .select(*[F.col(k).alias(f"_{k}") for k in key], F.monotonically_increasing_id().alias("name"))
     )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in key])
     return rows.join(names.hint("shuffle_merge"), same).drop(*key, *[f"_{k}" for k in key])
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, n_blocks, width, pos, name) -> a row per document of which every place has a name; copies: its repeated rows."""
-    return (
-        rows.groupBy("doc_id", "h", "n_blocks", "width")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("got"))
-        .select("doc_id", "h", "n_blocks", "width", F.array_distinct("got").alias("got"), F.size("got").alias("n"))
-        .filter(F.size("got") == F.col("width"))
-        .select("doc_id", "h", "n_blocks", F.col("got.name").alias("names"), (F.col("n") / F.col("width")).cast("long").alias("copies"))
-    )
-
-
-def exact_dedup(documents: DataFrame, block_bytes: int = 1024) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256; one row per input row."""
+    """(d, n_blocks, width, pos, name) -> a row per document of which every place has a name."""
+    got = rows.groupBy("d", "n_blocks", "width").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("got"))
+    return got.filter(F.size("got") == F.col("width")).select("d", "n_blocks", F.col("got.name").alias("names"))
+
+
+def _block_names(docs: DataFrame, blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs(d, hashes), blocks(doc_id, text_sha256, pos, hash, block) -> (d, n_blocks, width, pos, name) of blocks that occur twice or more."""
+    contents = blocks.groupBy("hash", "block").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("hash", "block")
+    contents = scratch.save(contents.select("hash", F.monotonically_increasing_id().alias("name")))
+    kinds = contents.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.min("name").alias("name"))
+    n = F.size("hashes")
+    rows = docs.select("d", n.alias("n_blocks"), n.alias("width"), F.posexplode("hashes").alias("pos", "hash"))
+    uses = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1")
+    names = scratch.save(uses.join(kinds.hint("shuffle_merge"), "hash").select(F.col("hash").alias("_hash"), "name", "kinds"))
+    found = rows.join(names.hint("shuffle_merge"), F.col("hash") == F.col("_hash"))
+    plain = found.filter("kinds = 1").select("d", "n_blocks", "width", "pos", "name")
+    clash = names.filter("kinds > 1").select("_hash")
+    if clash.isEmpty():
+        return plain
+    # Several contents of one hash: these blocks' bytes are brought to their documents. Names below zero are theirs.
+    ids = docs.select("d", F.col("doc_id").alias("_doc_id"), F.col("text_sha256").alias("_sha"), n.alias("n_blocks"), n.alias("width"))
+    bytes_ = blocks.join(clash, F.col("hash") == F.col("_hash"))
+    bytes_ = bytes_.join(ids, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_sha256") == F.col("_sha")))
+    bytes_ = scratch.save(bytes_.select("d", "n_blocks", "width", "pos", "block").distinct())
+    return plain.unionByName(_named(bytes_, ["block"], scratch).withColumn("name", -1 - F.col("name")))
+
+
+def exact_dedup(documents: DataFrame, block_bytes: int = 1024, hash_bits: int = 64) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256; one row per input row. hash_bits shortens blocks' hashes,
+    which changes no result (fewer make clashes, for tests)."""
     scratch = Scratch(documents.sparkSession, "exact-dedup")
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
     source = documents.select("doc_id", norm.alias("norm"))
-    keyed = source.select("doc_id", F.xxhash64("norm").alias("h"), _blocks(F.col("norm"), block_bytes).alias("blocks"))
-    rows = keyed.select("doc_id", "h", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("pos", "block"))
-    open_ = scratch.save(_gathered(_named(rows.withColumn("width", F.col("n_blocks")), ["block"], scratch)))
+    digest = lambda b: F.shiftrightunsigned(F.xxhash64(b), 64 - hash_bits)
+    light = source.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform(_blocks(F.col("norm"), block_bytes), digest).alias("hashes"))
+    docs = light.groupBy("doc_id", "text_sha256", "hashes").agg(F.count(F.lit(1)).alias("copies"))
+    docs = scratch.save(docs.withColumn("d", F.monotonically_increasing_id()))
+    cut = source.select("doc_id", "norm", F.posexplode(_blocks(F.col("norm"), block_bytes)).alias("pos", "block"))
+    blocks = cut.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "pos", digest(F.col("block")).alias("hash"), "block")
+    open_ = scratch.save(_gathered(_block_names(docs, blocks, scratch)))
 
     done = [open_.filter(F.size("names") == 1)]
     longest = open_.agg(F.max(F.size("names"))).first()[0] or 1
@@ -80,30 +110,26 @@ def exact_dedup(documents: DataFrame, block_bytes: int = 1024) -> DataFrame:
         width = F.ceil(F.size("names") / 2).cast("int")
         pairs = (
             open_.filter(F.size("names") > 1)
-            .select("doc_id", "h", "n_blocks", "copies", width.alias("width"), F.col("names").alias("all"), F.explode(F.sequence(F.lit(0), width - 1)).alias("pos"))
-            .select("doc_id", "h", "n_blocks", "width", "pos", F.get("all", F.col("pos") * 2).alias("left"), F.get("all", F.col("pos") * 2 + 1).alias("right"), "copies")
+            .select("d", "n_blocks", width.alias("width"), F.col("names").alias("all"), F.explode(F.sequence(F.lit(0), width - 1)).alias("pos"))
+            .select("d", "n_blocks", "width", "pos", F.get("all", F.col("pos") * 2).alias("left"), F.coalesce(F.get("all", F.col("pos") * 2 + 1), F.lit(NOTHING)).alias("right"))
         )
-        # Each repeated row counts, as it did among the blocks.
-        pairs = pairs.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("again", "copies")
         open_ = scratch.save(_gathered(_named(pairs, ["left", "right"], scratch)))
         done.append(open_.filter(F.size("names") == 1))
         longest = (longest + 1) // 2
 
-    ends = reduce(DataFrame.unionByName, done).select("doc_id", "h", "n_blocks", F.element_at("names", 1).alias("name"), "copies")
+    ends = reduce(DataFrame.unionByName, done).select(F.col("d").alias("_d"), "n_blocks", F.element_at("names", 1).alias("name"))
+    ends = scratch.save(docs.select("d", "doc_id", "copies").join(ends.hint("shuffle_merge"), F.col("d") == F.col("_d")).drop("_d"))
     groups = ends.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     # Written first: a join of two plain exchanges can be split where one group holds many rows.
     groups = scratch.save(groups.select(F.col("n_blocks").alias("_n"), F.col("name").alias("_name"), "keep_id", "group_size"))
-    member = ends.join(groups.hint("shuffle_merge"), (F.col("n_blocks") == F.col("_n")) & (F.col("name") == F.col("_name"))).select(
-        F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "keep_id", "group_size"
-    )
-
-    everyone = source.groupBy("doc_id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("copies"))
-    joined = everyone.join(member, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")), "left")
+    member = ends.join(groups.hint("shuffle_merge"), (F.col("n_blocks") == F.col("_n")) & (F.col("name") == F.col("_name")))
+    joined = docs.join(member.select(F.col("d").alias("_d"), "keep_id", "group_size"), F.col("d") == F.col("_d"), "left")
+    alone = F.col("_d").isNull()
     return joined.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id",
-        F.when(F.col("_h").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.col("copies")).alias("group_size"),
-        (F.when(F.col("_h").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("nth") == 1)).alias("kept"),
+        ((alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("nth") == 1)).alias("kept"),
         "text_sha256",
     )
 
