@@ -14,7 +14,6 @@ doc_id hashes as the empty string; repeated rows are predicted each; an empty ta
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]").search
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    """Superscripts, fractions and Roman numeral signs are no letters."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 class ByteGru:
     """Two gated recurrent networks of `hidden` units over windows of bytes, and a softmax on both states.
 
@@ -198,7 +201,7 @@ def predict(documents: DataFrame, model: ByteGru | None) -> DataFrame:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 texts = part.column("text").to_pylist()
-                known = np.array([bool(t and LETTER(t)) for t in texts])
+                known = np.array([has_letter(t) for t in texts])
                 lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if model is not None and known.any():
                     p = model.predict([t if k else None for t, k in zip(texts, known)])
@@ -220,16 +223,20 @@ def identify(documents: DataFrame, **how: int) -> DataFrame:
     return predict(documents, fit(documents, **how))
 
 
-def accepted(documents: DataFrame, model: ByteGru | None = None, margin: float = 1.2) -> DataFrame:
-    """The documents, all columns, whose language can be told: not `und`, and scored over `margin` times an even guess."""
+def accepted(documents: DataFrame, model: ByteGru | None = None, least: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose language can be told: they have a letter, and one language holds over `least` of the probability.
+
+    Null texts and those without a letter go; where nothing can be learnt (no labelled documents) every text with a letter stays;
+    repeated rows stay or go alike; a null doc_id changes nothing; an empty table gives no rows."""
     model = model or fit(documents)
-    if model is None:
-        return documents.limit(0)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            texts = [t if t and LETTER(t) else None for t in part]
-            yield pd.Series(np.concatenate([model.predict(texts[at : at + 128]).max(axis=1) for at in range(0, len(texts), 128)]) if texts else [], dtype="float64")
+            texts = [t if has_letter(t) else None for t in part]
+            if model is None:
+                yield pd.Series([float(t is not None) for t in texts], dtype="float64")
+            else:
+                yield pd.Series(np.concatenate([model.predict(texts[at : at + 128]).max(axis=1) for at in range(0, len(texts), 128)]) if texts else [], dtype="float64")
 
-    return documents.filter(score(F.col("text").cast("string")) > min(0.99, margin / len(model.labels)))
+    return documents.filter(score(F.col("text").cast("string")) > least)
