@@ -80,52 +80,63 @@ class Rollup:
     def _exists(self, path: str) -> bool:
         return bool(self._fs.exists(self._path(path)))
 
+    def _done(self, name: str) -> bool:
+        return self._exists(f"{self.folder}/{name}/{'batches/' if name.startswith('base-') else ''}_SUCCESS")
+
     def _folders(self) -> list[str]:
         """Committed folders, batches and bases alike."""
         if not self._exists(self.folder):
             return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder)))
-        return [n for n in names if self._exists(f"{self.folder}/{n}/_SUCCESS")]
+        return [n for n in sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))) if self._done(n)]
 
-    def _absorbed(self) -> set[str]:
-        """Ids of batches that bases hold."""
-        bases = [f"{self.folder}/{n}" for n in self._folders() if n.startswith("base-")]
-        if not bases:
+    def _absorbed(self, names: list[str]) -> set[str]:
+        """Which of these folders' sums the bases hold. The ids of all batches ever stay in their tables."""
+        bases = [f"{self.folder}/{n}/batches" for n in self._folders() if n.startswith("base-")]
+        if not bases or not names:
             return set()
-        return {r[0] for r in self.spark.read.schema(f"{SCHEMA}, batches array<string>").parquet(*bases).select(F.explode("batches")).distinct().collect()}
+        return {r[0] for r in self.spark.read.schema("id string").parquet(*bases).filter(F.col("id").isin(names)).distinct().collect()}
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of signed changes; False if that id is in already."""
         if not batch or "/" in batch or batch.startswith(("base-", "_", ".")):
             raise ValueError(f"not a batch id: {batch!r}")
-        if self._exists(f"{self.folder}/{batch}/_SUCCESS") or batch in self._absorbed():
+        if self._done(batch) or self._absorbed([batch]):
             return False
         sums = changes.groupBy(*KEY).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{batch}")
+        sums.write.mode("overwrite").parquet(f"{self.folder}/{batch}")
         return True
 
     def _sum(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/{n}" for n in folders])
+        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/{n}{'/sums' if n.startswith('base-') else ''}" for n in folders])
         return rows.groupBy(*KEY).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
 
     def _live(self) -> list[str]:
         """Folders to sum: a batch that a base holds too (a compaction broken off before its clean-up) counts once."""
-        done = self._absorbed()
-        return [n for n in self._folders() if n not in done]
+        names = self._folders()
+        done = self._absorbed(names)
+        return [n for n in names if n not in done]
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, tokens, docs of all committed batches."""
         return self._sum(self._live()).filter("tokens <> 0 or docs <> 0")
 
-    def compact(self, name: str) -> None:
-        """Sum what is committed into base-<name>, then remove what it sums up. Old bases' ids go with it."""
+    def compact(self, name: str) -> bool:
+        """Sum what is committed into base-<name>, then remove what it sums up; False if that base is there already. The sums are written
+        first, the ids after them: a base without its ids is a broken attempt, is never read and is written anew."""
+        base = f"base-{name}"
+        if self._done(base):
+            return False
         old = self._live()
-        ids = sorted({n for n in old if not n.startswith("base-")} | self._absorbed() | {n for n in old if n.startswith("base-")})
-        self._sum(old).withColumn("batches", F.array(*map(F.lit, ids)).cast("array<string>")).coalesce(1).write.parquet(f"{self.folder}/base-{name}")
+        self._sum(old).write.mode("overwrite").parquet(f"{self.folder}/{base}/sums")
+        ids = self.spark.createDataFrame([(n,) for n in old], "id string")
+        for n in (n for n in self._folders() if n.startswith("base-")):
+            ids = ids.unionByName(self.spark.read.schema("id string").parquet(f"{self.folder}/{n}/batches"))
+        ids.distinct().write.mode("overwrite").parquet(f"{self.folder}/{base}/batches")
         for n in old:
             self._fs.delete(self._path(f"{self.folder}/{n}"), True)
+        return True
 
 
 def rollup_report(documents: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:

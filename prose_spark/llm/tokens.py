@@ -2,11 +2,13 @@
 
 word_bpe_49k never merges across white space, which it drops; so a text's ids are its words' ids in order. Words
 here are split at blank and newline only: what else the tokenizer calls white space stays inside a word and is
-handled by the tokenizer itself. The tables of words are bounded, which changes no result.
+handled by the tokenizer itself. The tables of words are bounded, which changes no result. A tokenizer of any other
+make reads whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -34,10 +36,21 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
+        self.by_word = self._drops_blanks(path)
         self.letters = byte_letters()
         self.marks: dict[str, bytes] = {"": b""}
         self.more: dict[str, bytes] = {}
 
+    @staticmethod
+    def _drops_blanks(path: str) -> bool:
+        """Whether the tokenizer's parts are those for which words can be encoded by themselves: blanks removed, lower case, word ends marked."""
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        normal = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
+        before = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        removes = len(before) == 2 and before[0]["type"] == "Split" and before[0]["behavior"] == "Removed" and before[0]["invert"] and "^\\s" in before[0]["pattern"].get("Regex", "")
+        return normal == ["NFC", "Replace", "Lowercase"] and removes and before[1]["type"] == "ByteLevel" and made["model"].get("end_of_word_suffix") == "</w>"
+
     def _slow(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -64,6 +77,8 @@ class WordIds(dict):
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         return [b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
