@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temp folder only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a temporary folder;
+    a cluster has none that its executors could see, and is told so."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="prose_spark_")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -29,15 +34,34 @@ def _remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Folders of this process's scratch tables, with their sessions.
+_ROOTS: dict[str, SparkSession] = {}
+
+
+def remove_scratch() -> None:
+    """Remove the scratch tables of this process. To be called when the DataFrames that operators returned have been written; else done at exit."""
+    while _ROOTS:
+        path, spark = _ROOTS.popitem()
+        if spark._jsc is not None and not spark._jsc.sc().isStopped():
+            _remove(spark, path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with suppress(Py4JError, OSError, AttributeError):  # the JVM may be gone already
+        remove_scratch()
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, survive lost executors and can be dropped early.
 
-    What a returned DataFrame still reads stays; `root` names the folder to remove once its result is written."""
+    What a returned DataFrame still reads stays until `remove_scratch`."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        _ROOTS[self.root] = spark
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1

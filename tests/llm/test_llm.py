@@ -65,11 +65,12 @@ def test_odd_and_empty_tables(spark, name):
 # ---- exact dedup
 
 
-def test_exact_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("bits", [64, 2])
+def test_exact_dedup_against_brute_force(spark, bits):
     rng = random.Random(1)
     rows = [(i, "".join(rng.choice("aAb") for _ in range(rng.choice([0, 1, 7, 8, 9, 16, 17, 33])))) for i in range(300)]
     rows += [(300 + i, rows[i][1].swapcase()) for i in range(60)]
-    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(table(spark, rows), block_bytes=8).collect()}
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(table(spark, rows), block_bytes=8, hash_bits=bits).collect()}
     groups = defaultdict(list)
     for i, t in rows:
         groups[t.lower()].append(i)
@@ -230,6 +231,43 @@ def test_no_letters_is_und_and_every_byte_is_labelled(spark):
     assert whole[[0, 2]].sum(axis=1) == pytest.approx([1, 1]) and whole[1].sum() == 0
 
 
+def test_superscripts_and_numerals_are_no_letters():
+    assert not any(map(language_id.has_letter, ["²", "½ 12", "Ⅷ", "", None, "_-!"])) and language_id.has_letter("1 é")
+
+
+def test_prediction_by_a_plain_pass():
+    """Step by step, one byte at a time, with sigmoids written out."""
+    m = language_id.ByteGru(["a", "b", "c"], hidden=5, window=16)
+    h = m.hidden
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(raw, d):
+        out, state = [], np.zeros(h)
+        for byte in raw:
+            a, rec = m.w[f"E{d}"][:, byte].astype(float), m.w[f"U{d}"].astype(float) @ state
+            z, r = sigmoid(2 * (a[:h] + rec[:h])), sigmoid(2 * (a[h : 2 * h] + rec[h : 2 * h]))
+            cand = np.tanh(a[2 * h :] + r * rec[2 * h :])
+            state = z * state + (1 - z) * cand
+            out.append(state)
+        return out
+
+    text = "Grüße aus dem Süden, 12 mal"
+    raw, total = text.encode(), np.zeros(3)
+    for at in range(0, len(raw), 16):
+        piece = raw[at : at + 16].ljust(16, b"\0")
+        f, b = states(piece, "f"), states(piece[::-1], "b")[::-1]
+        for t in range(min(16, len(raw) - at)):
+            logits = m.w["Vf"] @ f[t] + m.w["Vb"] @ b[t] + m.w["c"][:, 0]
+            total += np.exp(logits) / np.exp(logits).sum()
+    assert m.predict([text])[0] == pytest.approx(total / len(raw), rel=1e-4)
+
+
+def test_documents_without_labels_or_language(spark):
+    rows = [(1, "some text"), (2, None), (3, "12")]
+    df = table(spark, rows, langs=(None,))
+    assert [r["doc_id"] for r in language_id.accepted(df).collect()] == [1]
+
+
 # ---- token counts
 
 
@@ -266,6 +304,26 @@ def test_commits_are_idempotent_and_survive_compaction(spark, tmp_path):
     assert total() == {} and not book.commit("b3", token_rollup.inserted(rows, "v1")) and not book.commit("b1", token_rollup.inserted(rows, "v1"))
 
 
+def test_broken_compactions_and_absorbed_batches(spark, tmp_path):
+    book = token_rollup.Rollup(spark, str(tmp_path / "book"))
+    rows = spark.createDataFrame([("a", "en", 5)], "source string, lang string, tokens long")
+    book.commit("b1", token_rollup.inserted(rows, "v"))
+    (tmp_path / "book" / "base-x" / "sums").mkdir(parents=True)  # broken off before its ids were written
+    assert book.totals().collect()[0]["tokens"] == 5
+    assert book.compact("x") and not book.compact("x") and not book.commit("b1", token_rollup.inserted(rows, "v"))
+    (tmp_path / "late").mkdir()
+    token_rollup.inserted(rows, "v").write.parquet(str(tmp_path / "book" / "b1"))  # a compaction broken off before its clean-up
+    assert book.totals().collect()[0]["tokens"] == 5
+
+
+def test_other_tokenizers_read_whole_texts():
+    w = tokens.WordIds(tokens.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["Hello world again", "", "a  b\n\nc", None]
+    assert not w.by_word and np.frombuffer(w.encode_all(texts)[0], "<u4").tolist() == [15496, 995, 757]
+    assert [np.frombuffer(x, "<u4").tolist() for x in w.encode_all(texts)] == [w.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert tokens.WordIds(tokens.tokenizer_path("word_bpe_49k.json")).by_word
+
+
 # ---- tokens and packing
 
 
@@ -327,6 +385,21 @@ def test_pieces_are_the_documents_ids(spark):
     assert all(n == 4096 or n & (n - 1) == 0 for n in at.values())
 
 
+def test_a_binding_limit_on_loss_bearing_tokens(spark):
+    """Prompts and answers: sequences hold 64 tokens, of which 16 bear loss."""
+    rows = [(i, "the prompt is here " * 3 + "answer words " * (i % 7 + 1), 12) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, answer long")
+    out = packing.pack(df, tokens=64, segments=8, loss_tokens=16, loss_from="answer").collect()
+    used, loss, n = Counter(), Counter(), Counter()
+    for r in out:
+        used[r["sequence_id"]] += r["length"]
+        loss[r["sequence_id"]] += r["loss_tokens"]
+        n[r["sequence_id"]] += 1
+    assert max(loss.values()) == 16 and max(used.values()) <= 64 and max(n.values()) <= 8
+    assert sum(loss.values()) == sum(max(0, d - 12) for d in {r["doc_id"]: r["doc_tokens"] for r in out}.values())
+    assert sum(x == 16 for x in loss.values()) > len(loss) / 3  # it binds
+
+
 # ---- line dedup
 
 
@@ -590,6 +663,43 @@ def test_base_counts_against_brute_force():
         assert quality.base_counts(text, text.encode().split()) == want, text
 
 
+def test_measures_by_whole_text_encoding(spark):
+    """Words are looked up one by one; a whole text gives the same pieces."""
+    from math import log2
+
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=tokens.tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice("abcdeéßñ日本я.,'") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 60)))) for i in range(60)]
+    got = {r["doc_id"]: r for r in quality.quality(table(spark, rows)).collect()}
+    for i, t in rows:
+        ids = model.encode(t)
+        times = Counter(ids)
+        entropy = -sum(n / len(ids) * log2(n / len(ids)) for n in times.values())
+        r = got[i]
+        assert r["n_tokens"] == len(ids) and r["chars_per_token"] == pytest.approx(len(t.replace(" ", "")) / len(ids))
+        assert r["byte_share"] == pytest.approx(sum(map(model.is_byte, ids)) / len(ids))
+        assert len(ids) == 1 or r["entropy_share"] == pytest.approx(min(1.0, entropy / log2(min(len(ids), quality.DISTINCT))))
+
+
+def test_full_word_tables_change_nothing():
+    small = quality.Pieces(tokens.tokenizer_path("piece_bpe_32k.model"))
+    large = quality.Pieces(tokens.tokenizer_path("piece_bpe_32k.model"))
+    small.LIMIT = 8
+    rng = random.Random(4)
+    for _ in range(30):
+        words = {f"w{rng.randrange(40)}".encode() for _ in range(rng.randint(1, 12))}
+        a, b = small.learn(words), large.learn(words)
+        assert {w: a[w] for w in words} == {w: b[w] for w in words}
+        assert len(small) <= 8
+
+
+def test_every_letter_has_a_script():
+    want = {"ꀀꀁ": "other", "ⵣⴰ": "other", "ꓐꓑ": "other", "ＡＢｃ": "latin", "ｶﾅ": "kana", "𠀀𠀁": "han", "１２ ²": "none", "नमस्ते": "other", "": "none"}
+    assert {t: quality.script_of(t) for t in want} == want
+
+
 def test_bands_reject_what_a_vocabulary_cannot_read(spark):
     rng = random.Random(3)
     clean = " ".join(rng.choice("the quick brown fox jumps over a lazy dog while many people watch it from their houses".split()) for _ in range(300))
@@ -757,12 +867,63 @@ def test_viterbi_is_the_best_of_all_paths():
 
 def test_odd_conversations(spark):
     schema = "conv_id long, turn long, role string, text string, stretch string, own int"
-    rows = [(1, 0, None, "hello", "a", 1), (1, 1, "assistant", None, "a", 1), (1, 1, "assistant", None, "a", 1), (None, 0, "user", "x", "a", 1), (2, None, "user", "", "a", 1)] + [(3, i, ("user", "assistant")[i % 2], f"t{i}", "a", 1) for i in range(600)]
+    rows = [(1, 0, None, "hello", "a", 1), (1, 1, "assistant", None, "a", 1), (1, 1, "assistant", None, "a", 1), (None, 0, "user", "x", "a", 1), (None, 0, "user", "x", "a", 1), (2, None, "user", "", "a", 1)]
+    rows += [(3, i, ("user", "assistant")[i % 2], f"t{i}", "a", 1) for i in range(600)]
     out = chat.recover_turns(spark.createDataFrame(rows, schema)).collect()
-    assert len(out) == len(rows) and {r["stretch"] for r in out if r["conv_id"] == 3} == {0, 1, 2}
+    assert len(out) == len(rows) and [r["turn"] for r in sorted((r for r in out if r["conv_id"] == 3), key=lambda r: r["turn"])] == list(range(600))
+    assert [r["turn"] for r in out if r["conv_id"] is None] == [0, 0]
     assert chat.recover_turns(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_long_conversations_are_decoded_as_a_whole(spark):
+    """Stretches of three rows, over several partitions, against one transcript; markers are missing, wrong and unknown."""
+    rng = random.Random(21)
+    rows, whole = [], {}
+    for conv in range(12):
+        turns = []
+        for t in range(rng.randint(1, 60)):
+            role = rng.choice(["user", "assistant", None, "alice", "bob", f"n{rng.randrange(40)}"])
+            turns.append((role, rng.choice(["what now?", "yes", "a\nb", "Note: x", "Alice: hm", "Once%d: y" % rng.randrange(30), ""])))
+        if conv % 3 == 0:
+            turns = [(("user", "assistant")[t % 2] if rng.random() < 0.8 else None, x) for t, (_, x) in enumerate(turns)]
+        rows += [(conv, t, r, x) for t, (r, x) in enumerate(turns)]
+        style = spark.range(1).select(F.pmod(F.xxhash64(F.lit(conv).cast("long")), F.lit(len(chat.STYLES)))).first()[0]
+        whole[conv] = chat.parse(chat.write_transcript(turns, style), chat.TurnModel())
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = defaultdict(list)
+    for r in sorted(chat.recover(df, 3).collect(), key=lambda r: (r["conv_id"], r["turn"], r["continued"])):
+        if r["continued"]:
+            assert got[r["conv_id"]][-1][0] == r["role"]
+            got[r["conv_id"]][-1] = (r["role"], got[r["conv_id"]][-1][1] + "\n" + r["text"])
+        else:
+            assert r["turn"] == len(got[r["conv_id"]]) and r["rendered"] == chat.render(r["role"], r["text"])
+            got[r["conv_id"]].append((r["role"], r["text"]))
+    assert dict(got) == whole
+
+
+def test_raw_transcripts(spark):
+    rows = [(1, "User: hi?\nAssistant: hello\n- a\n- b", "x"), (None, "Alice: a?\nBob: b\nAlice: c\nBob: d", "x"), (2, None, "x"), (3, "", "x"), (3, "", "x")]
+    out = chat.parse_transcripts(spark.createDataFrame(rows, "id long, text string, role string")).collect()
+    assert [(r["id"], r["turn"], r["role"], r["text"]) for r in out if r["id"] == 1] == [(1, 0, "user", "hi?"), (1, 1, "assistant", "hello\n- a\n- b")]
+    assert [r["role"] for r in out if r["id"] is None] == ["user", "assistant"] * 2 and sum(r["id"] == 3 for r in out) == 2 and not [r for r in out if r["id"] == 2]
+    assert all(r["rendered"] == chat.render(r["role"], r["text"]) for r in out)
+
+
+def test_roles_recovered_from_damaged_transcripts():
+    """Share of turns whose role and text come back when markers are left out, or all names are unknown."""
+    rng, m = random.Random(31), chat.TurnModel()
+    said = lambda ask: " ".join(rng.choice("red green blue one two three".split()) for _ in range(rng.randint(3, 12))) + ("?" if ask else ".")
+    hit, total = Counter(), Counter()
+    for _ in range(300):
+        turns = [(("user", "assistant")[t % 2], said(t % 2 == 0 and rng.random() < 0.8)) for t in range(rng.randint(2, 12))]
+        dropped = rng.randrange(len(turns))
+        for kind, written in (("dropped", [(None if t == dropped else r, x) for t, (r, x) in enumerate(turns)]), ("unknown", [({"user": "ann", "assistant": "ben"}[r], x) for r, x in turns])):
+            got = chat.parse(chat.write_transcript(written, 0), m)
+            hit[kind] += sum(a == b for a, b in zip(got, turns)) if len(got) == len(turns) else len(set(got) & set(turns))
+            total[kind] += len(turns)
+    assert hit["dropped"] >= 0.75 * total["dropped"] and hit["unknown"] >= 0.9 * total["unknown"], (hit, total)
+
+
 # ---- pipeline
 
 
