@@ -13,27 +13,31 @@ from prose_spark.llm.common import Scratch
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go."""
+    """Documents whose language can't be told go: null texts, those without a letter, and those of which no language holds half of the
+    probability. Without any labelled document all texts with a letter stay. Repeated rows stay or go alike; an empty table stays empty."""
     return language_id.accepted(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words or more are deleted; documents made of nothing else go."""
+    """Later copies of line runs of 50 words or more are deleted; documents made of nothing else go. A null text stays null; rows equal in
+    doc_id and text are one document, and give the same result each; a null doc_id comes first; an empty table stays empty."""
     return line_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group that shares 0.8 or more of its five-word shingles."""
+    """One document, that of the smallest doc_id, stays of each group linked by 0.8 or more of the five-word shingles. Texts without a word are one
+    group; of repeated rows one stays; a null doc_id is the smallest; ties go to the smaller hash of the text; an empty table stays empty."""
     return simhash.near_dedup(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in proportion to their weights; a document comes as often as its source is repeated, the last time in part."""
+    """Sources in proportion to their weights; a document comes as often as its source is repeated, in the last pass if its block is drawn. Texts without
+    a word are never drawn; a null source is one of its own; repeated rows are drawn each; an empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens."""
+    """Sequences of 4096 tokens. A null or empty text is the end token alone; repeated rows are packed each; an empty table gives none."""
     return packing.pack(docs)
 
 
