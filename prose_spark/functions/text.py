@@ -124,10 +124,11 @@ def whitespace_free_id(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Runs of lines with something in them."""
-    solid = F.transform(lines(text), lambda x: F.length(strip(x)) > 0)
-    starts = F.transform(solid, lambda x, i: x & ((i == 0) | ~F.coalesce(F.get(solid, i - 1), F.lit(False))))
-    return F.size(F.filter(starts, lambda x: x))
+    """Runs of lines with something in them, in one pass over the lines."""
+    solid = lambda line: line.rlike(rf"{_U}[^\s\x1c-\x1f]")
+    begin = F.struct(F.lit(0).alias("n"), F.lit(False).alias("on"))
+    step = lambda seen, line: F.struct((seen["n"] + (solid(line) & ~seen["on"]).cast("int")).alias("n"), solid(line).alias("on"))
+    return F.aggregate(lines(text), begin, step, lambda seen: seen["n"])
 
 
 def newline_sequences(text: Column) -> Column:

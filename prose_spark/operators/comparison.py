@@ -8,6 +8,7 @@ One Arrow pass extracts items and sentences (Unicode normalisation is not in SQL
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -172,31 +173,45 @@ def item_rows(parts: DataFrame) -> DataFrame:
     return parts.select("pair_id", "side", F.inline("items"))
 
 
+def _weighed(rows: DataFrame) -> DataFrame:
+    """Item rows with what bags and sets need: by how many the before side has more of the key, sides that have it, and the row's number
+    among the key's on its side, from the last and from the first. One exchange by (pair, kind, key) serves all."""
+    here = Window.partitionBy("pair_id", "kind", "key")
+    side = Window.partitionBy("pair_id", "kind", "key", "side")
+    sign = F.when(F.col("side") == "before", 1).otherwise(-1)
+    return rows.withColumns(
+        {
+            "more": F.sum(sign).over(here) * sign,
+            "sides": F.size(F.collect_set("side").over(here)),
+            "from_last": F.row_number().over(side.orderBy(F.desc("pos"))),
+            "from_first": F.row_number().over(side.orderBy("pos")),
+            "change": F.when(F.col("side") == "before", "missing").otherwise("added"),
+        }
+    )
+
+
+_SURPLUS = "from_last <= more"
+_LONE = "sides = 1 and from_first = 1"
+_WEIGHTS = ("more", "sides", "from_last", "from_first", "side")
+
+
 def surplus(rows: DataFrame) -> DataFrame:
     """Bag difference of item rows (pair_id, side, kind, pos, key, ...): per key the last occurrences that the other side lacks."""
-    here = Window.partitionBy("pair_id", "kind", "key")
-    last = Window.partitionBy("pair_id", "kind", "key", "side").orderBy(F.desc("pos"))
-    more = F.sum(F.when(F.col("side") == "before", 1).otherwise(-1)).over(here)
-    extra = F.when(F.col("side") == "before", F.col("more")).otherwise(-F.col("more"))
-    marked = rows.withColumns({"more": more, "nth": F.row_number().over(last)}).filter(F.col("nth") <= extra)
-    return marked.withColumn("change", F.when(F.col("side") == "before", "missing").otherwise("added")).drop("more", "nth", "side")
+    return _weighed(rows).filter(_SURPLUS).drop(*_WEIGHTS)
 
 
 def presence(rows: DataFrame) -> DataFrame:
     """Set difference: the first occurrence of each key that the other side never has."""
-    both = Window.partitionBy("pair_id", "kind", "key")
-    first = Window.partitionBy("pair_id", "kind", "key", "side").orderBy("pos")
-    marked = rows.withColumns({"sides": F.size(F.collect_set("side").over(both)), "nth": F.row_number().over(first)}).filter("sides = 1 and nth = 1")
-    return marked.withColumn("change", F.when(F.col("side") == "before", "missing").otherwise("added")).drop("sides", "nth", "side")
+    return _weighed(rows).filter(_LONE).drop(*_WEIGHTS)
 
 
 def item_changes(parts: DataFrame, allowed_roles: tuple[str, ...] = ()) -> DataFrame:
-    """All item differences: numbers, URLs and code as bags; terms and roles by presence, roles only if new and not allowed."""
-    rows = item_rows(parts)
-    bags = surplus(rows.filter(F.col("kind").isin("number", "url", "code")))
-    sets = presence(rows.filter(F.col("kind").isin("term", "role")))
-    sets = sets.filter((F.col("kind") == "term") | ((F.col("change") == "added") & ~F.col("text").isin(*allowed_roles, "")))
-    return bags.unionByName(sets).select("pair_id", "kind", "change", "pos", "line", "text", "key")
+    """All item differences: numbers, URLs and code as bags; terms and roles by presence, roles only if new and not allowed. Texts are parsed once."""
+    rows = _weighed(item_rows(parts))
+    kind, new_role = F.col("kind"), (F.col("change") == "added") & ~F.col("text").isin(*allowed_roles, "")
+    bag = kind.isin("number", "url", "code") & F.expr(_SURPLUS)
+    lone = F.expr(_LONE) & ((kind == "term") | ((kind == "role") & new_role))
+    return rows.filter(bag | lone).select("pair_id", "kind", "change", "pos", "line", "text", "key")
 
 
 def best_windows(own: list[list[str]], other: list[list[str]]) -> list[tuple[int | None, int | None, int | None]]:
@@ -236,17 +251,24 @@ def best_windows(own: list[list[str]], other: list[list[str]]) -> list[tuple[int
     return out
 
 
-_ALIGNED = "pair_id long, side string, pos int, line int, text string, markers map<string,int>, judgeable boolean, style string, n_units int, hits int, start int, end int"
+_ALIGNED = "pair_id long, side string, pos int, line int, text string, markers map<string,int>, judgeable boolean, style string, n_units int, hits int, start int, end int, met map<string,int>"
 
 
 def alignment(parts: DataFrame) -> DataFrame:
     """For each sentence the window of one or two sentences of the other side that covers most of its units.
 
-    Ties go to the smallest start, then end. Without a common unit: window (0, 1) and no hits; without units, or facing nothing:
+    met: the window's markers, summed. Ties go to the smallest start, then end. Without a common unit: window (0, 1) and no hits; without units, or facing nothing:
     null. Both sides of a pair meet in one row; pairs spread over the cluster."""
     of = lambda s: F.first(F.when(F.col("side") == s, F.col("sentences")), ignorenulls=True).alias(s)
     two = parts.groupBy("pair_id").agg(of("before"), of("after"))
-    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.int32()), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.int32()), pa.bool_(), pa.string(), *[pa.int32()] * 4, pa.map_(pa.string(), pa.int32())]
+
+    def met(other: list[dict], start: int | None, end: int | None) -> list[tuple[str, int]]:
+        """Markers of the window's sentences, summed."""
+        total: Counter[str] = Counter()
+        for s in other[start:end] if start is not None else ():
+            total.update(dict(s["markers"]))
+        return list(total.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +276,7 @@ def alignment(parts: DataFrame) -> DataFrame:
             for pair, before, after in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "before", "after"))):
                 for side, own, other in (("before", before or [], after or []), ("after", after or [], before or [])):
                     found = best_windows([s["units"] for s in own], [s["units"] for s in other])
-                    rows += [(pair, side, s["pos"], s["line"], s["text"], s["markers"], s["judgeable"], s["style"], len(s["units"]), *w) for s, w in zip(own, found)]
+                    rows += [(pair, side, s["pos"], s["line"], s["text"], s["markers"], s["judgeable"], s["style"], len(s["units"]), *w, met(other, *w[1:])) for s, w in zip(own, found)]
             cols = list(zip(*rows)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [f.split()[0] for f in re.split(r", (?=\w+ )", _ALIGNED)])
 
@@ -270,14 +292,10 @@ def unmatched(aligned: DataFrame) -> DataFrame:
     return aligned.filter(_unmatched()).select("pair_id", "side", "pos", "line", "text")
 
 
-def marker_changes(aligned: DataFrame, parts: DataFrame) -> DataFrame:
+def marker_changes(aligned: DataFrame) -> DataFrame:
     """Sentences with more markers of a kind than their counterpart: pair_id, side, kind, pos, line, text. Unmatched ones are left out."""
-    other = F.when(F.col("side") == "before", "after").otherwise("before")
-    facing = parts.select("pair_id", other.alias("side"), F.transform("sentences", lambda s: s["markers"]).alias("facing"))
-    rows = aligned.filter(~_unmatched()).join(facing, ["pair_id", "side"])
-    met = F.when(F.col("start").isNull(), F.array().cast("array<map<string,int>>")).otherwise(F.slice("facing", F.col("start") + 1, F.greatest(F.lit(0), F.col("end") - F.col("start"))))
-    rows = rows.withColumn("met", met).select("pair_id", "side", "pos", "line", "text", "met", F.explode("markers").alias("kind", "n"))
-    seen = F.aggregate("met", F.lit(0), lambda acc, m: acc + F.coalesce(F.try_element_at(m, F.col("kind")), F.lit(0)))
+    rows = aligned.filter(~_unmatched()).select("pair_id", "side", "pos", "line", "text", "met", F.explode("markers").alias("kind", "n"))
+    seen = F.coalesce(F.try_element_at("met", F.col("kind")), F.lit(0))
     return rows.filter(F.col("n") > seen).select("pair_id", "side", "kind", "pos", "line", "text")
 
 

@@ -80,11 +80,12 @@ def document_means(outcomes: DataFrame, by: list[str]) -> DataFrame:
     return inner.groupBy(*by).agg(F.count(F.lit(1)).alias("documents"), F.avg("m").alias("mean"))
 
 
-def bootstrap(documents: DataFrame, resamples: int = 9999, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """documents(value), one per document: percentile interval of the mean by resampling; `insufficient` below two
+def bootstrap(documents: DataFrame, resamples: int = 9999, seed: int = 0, level: float = 0.95, key: str = "document_id") -> DataFrame:
+    """documents(document_id, value), one per document: percentile interval of the mean by resampling; `insufficient` below two
     documents, `degenerate` if all are equal, else `estimated`. Resamples are drawn as Poisson counts by column functions:
     each task holds one number per resample, never the documents."""
-    base = documents.select("value", F.xxhash64("value", F.monotonically_increasing_id(), F.lit(seed)).alias("h"))
+    # The draws of a document depend on its id alone, so that they don't change with the partitioning.
+    base = documents.select("value", F.xxhash64(F.col(key), F.lit(seed)).alias("h"))
     drawn = base.select("value", "h", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
     u = (F.pmod(F.xxhash64("h", "r"), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
     # inverse of the Poisson(1) distribution function
@@ -142,7 +143,7 @@ def percentiles(rows: DataFrame, by: list[str], column: str, at: list[float]) ->
 def run_summary(runs: DataFrame) -> DataFrame:
     """runs(label, errors_left, kept_protected): runs without errors, mean of what is left, runs that kept what was protected."""
     return runs.groupBy("label").agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("errors_left") == 0).alias("error_free"), F.avg("errors_left").alias("mean_left"), F.count_if("kept_protected").alias("protected_kept")
+        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("errors_left") == 0).alias("error_free"), F.avg("errors_left").alias("mean_left"), F.median("errors_left").alias("median_left"), F.count_if("kept_protected").alias("protected_kept")
     )
 
 

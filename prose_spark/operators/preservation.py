@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xxhash import xxh64_intdigest
+
 from ..functions import prose
 from ..functions import text as T
 
@@ -75,6 +81,11 @@ def brackets(documents: DataFrame) -> DataFrame:
     )
 
 
+def in_order(findings: DataFrame) -> DataFrame:
+    """Bracket findings by document, line and column; those without an opening come after those with one."""
+    return findings.orderBy("doc_id", "line", "column", F.col("opening_line").asc_nulls_last(), F.col("opening_column").asc_nulls_last(), "check_id")
+
+
 def bracket_balance(documents: DataFrame) -> DataFrame:
     """Openings and closings of each document, all kinds together."""
     cls = lambda chars: "[" + "".join("\\" + c for c in chars) + "]"
@@ -88,26 +99,38 @@ def code_point_counts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", total.alias("codepoints"), (total - solid).alias("blank_codepoints"), solid.alias("solid_codepoints"), T.newline_sequences(t).alias("newlines"))
 
 
-#: Literals up to this size travel to the tasks as one automaton; more are joined.
+#: Literals up to this size travel to the tasks as one automaton; more are joined by hashes.
 AUTOMATON_BYTES = 8_000_000
+_HIT = "doc_id long, item_id long, offset int, line int, column int"
+
+
+def _hits(found: list[tuple[int | None, int, int]], starts: dict[int | None, list[int]]) -> pa.RecordBatch:
+    """Rows of hits (document, item, offset), placed by the starts of the document's lines."""
+    line = [bisect_right(starts[doc], at) for doc, _, at in found]
+    cols = [[d for d, _, _ in found], [i for _, i, _ in found], [at for _, _, at in found], line, [at - starts[d][n - 1] + 1 for (d, _, at), n in zip(found, line)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)], ["doc_id", "item_id", "offset", "line", "column"])
 
 
-def forbidden_literals(documents: DataFrame, literals: DataFrame) -> DataFrame:
-    """All occurrences, overlapping too, of literals(item_id, text): doc_id, item_id, offset, line, column."""
-    literals = literals.filter(F.length("text") > 0)
+def _line_starts(text: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", text))]
+
+
+def forbidden_literals(documents: DataFrame, literals: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """All occurrences, overlapping too, of literals(item_id, text): doc_id, item_id, offset, line, column.
+
+    Lines and columns are found where the hits are: no text leaves its task. Literals of more than `most_bytes` never come
+    to the driver; they are joined with hashes of the documents' windows. Both ways give the same rows."""
+    literals = literals.filter(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = literals.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    t = F.col("text")
-    if total > AUTOMATON_BYTES:
-        whole = _joined_literals(documents, literals)
-    else:
-        whole = _searched_literals(documents, literals.groupBy("text").agg(F.sort_array(F.collect_list("item_id")).alias("ids")).collect())
-    return whole.select("doc_id", "item_id", "offset", T.line_of(t, F.col("offset")).alias("line"), T.column_of(t, F.col("offset")).alias("column"))
+    if total > most_bytes:
+        return _joined_literals(documents, literals)
+    return _searched_literals(documents, literals.groupBy("text").agg(F.sort_array(F.collect_list("item_id")).alias("ids")).collect())
 
 
 def _searched_literals(documents: DataFrame, needles: list) -> DataFrame:
     """One pass over the documents with an Aho-Corasick automaton."""
     table = [(r["text"], list(r["ids"])) for r in needles]
-    schema = "doc_id long, text string, offset int, item_id long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -117,34 +140,46 @@ def _searched_literals(documents: DataFrame, needles: list) -> DataFrame:
             finder.add_word(needle, (len(needle), ids))
         finder.make_automaton()
         for batch in batches:
-            rows = [
-                (doc, text, end - n + 1, i)
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-                for end, (n, ids) in finder.iter(text or "")
-                for i in ids
-            ]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int64()))], ["doc_id", "text", "offset", "item_id"])
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, schema) if table else rows.sparkSession.createDataFrame([], schema)
-
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                found = ((doc, i, end - n + 1) for end, (n, ids) in finder.iter(text or "") for i in ids)
+                while part := list(islice(found, 50_000)):
+                    yield _hits(part, {doc: _line_starts(text)})
 
-def _windows(text: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.length(text) - size), lambda i: F.substring(text, i + 1, F.lit(size)))
+    return documents.mapInArrow(run, _HIT) if table else documents.sparkSession.createDataFrame([], _HIT)
 
 
 def _joined_literals(documents: DataFrame, literals: DataFrame, prefix: int = 12) -> DataFrame:
-    """A hash join of the documents' windows with the literals' first code points, then a comparison of the whole."""
+    """A hash join of the documents' windows with the literals' first code points, of which only ids, offsets and hashes travel; then each
+    document's candidates are compared with its text."""
     sized = literals.select("item_id", F.col("text").alias("needle"), F.least(F.length("text"), F.lit(prefix)).alias("n"))
-    keys = sized.select("item_id", "needle", F.substring(F.col("needle"), F.lit(1), F.col("n")).alias("key"))
-    t, parts = F.col("text"), None
-    for r in sized.select("n").distinct().collect():  # at most `prefix` lengths
-        w = int(r["n"])
-        window = _windows(t, w)
-        rows = documents.filter(F.length(t) >= w).select("doc_id", "text", F.posexplode(window).alias("offset", "key"))
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts.join(keys, "key").filter(F.substring(t, F.col("offset") + 1, F.length("needle")) == F.col("needle")).select("doc_id", "text", "offset", "item_id")
+    lengths = sorted(r["n"] for r in sized.select("n").distinct().collect())  # at most `prefix` of them
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                for n in lengths:
+                    for at in range(0, len(text or "") - n + 1, 50_000):
+                        places = range(at, min(at + 50_000, len(text) - n + 1))
+                        keys = np.fromiter((xxh64_intdigest(text[i : i + n], n) for i in places), np.uint64, len(places)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([doc] * len(places), pa.int64()), pa.array(places, pa.int32()), pa.array(keys)], ["doc_id", "offset", "key"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [xxh64_intdigest(x[:n], n) for x, n in zip(batch.column("needle").to_pylist(), batch.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("needle"), pa.array(np.array(keys, np.uint64).view(np.int64))], ["item_id", "needle", "_key"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, candidates in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "candidates"))):
+                found = [(doc, c["item_id"], c["offset"]) for c in candidates if text.startswith(c["needle"], c["offset"])]
+                if found:
+                    yield _hits(found, {doc: _line_starts(text)})
+
+    places = documents.filter(F.col("text").isNotNull())
+    keys = sized.mapInArrow(hashed, "item_id long, needle string, _key long")
+    met = places.mapInArrow(windows, "doc_id long, offset int, key long").join(keys, F.col("key") == F.col("_key"))
+    met = met.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_set(F.struct("offset", "item_id", "needle")).alias("candidates"))
+    return places.join(met, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("doc_id", "text", "candidates").mapInArrow(compared, _HIT)
 
 
 def missing_literals(documents: DataFrame, needles: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Readability: documents -> blocks -> sentences -> additive counters, located candidates and pointers.
 
-One Arrow pass finds blocks and sentences; everything after it is columns, windows and aggregates. Counters add up, so
-document and corpus totals are partial sums with ratios taken last.
+One Arrow pass finds blocks and sentences, or counts them where counters are all that is asked for; what follows is columns, windows and
+aggregates. Counters add up, so corpus totals are partial sums with ratios taken last.
 """
 
 from __future__ import annotations
@@ -47,43 +47,19 @@ def _is_short(said: Column, short: int) -> Column:
     return (T.visible_length(said) < short) & T.ends_with_terminator(said)
 
 
-def _run_count(sentences: Column, short: int, least: int) -> Column:
-    """How many runs of `least` or more short, ended sentences an array of sentences has: places where one begins."""
-    flags = F.transform(sentences, lambda s: _is_short(s["text"], short))
-    least = max(1, least)
-    begins = lambda f: F.size(
-        F.filter(
-            F.sequence(F.lit(0), F.size(f) - 1),
-            lambda i: F.get(f, i) & ~F.coalesce(F.get(f, i - 1), F.lit(False)) & (i + least <= F.size(f)) & F.forall(F.slice(f, i + 1, least), lambda x: x),
-        )
-    )
-    return F.when(F.size(sentences) > 0, F.transform(F.array(flags), begins)[0]).otherwise(0)
-
-
 def document_metrics(
     documents: DataFrame, markdown: bool | str = True, paragraph: int = 200, sentence: int = 46, short: int = 20, run: int = 3
 ) -> DataFrame:
-    """A row per document that has an id: all counters, zero for documents without prose."""
-    blocks = split_blocks(documents, markdown)
-    size = T.visible_length(F.col("text"))
-    lengths = F.transform("sentences", lambda s: T.visible_length(s["text"]))
-    marks = F.transform("sentences", lambda s: T.commas(s["text"]))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    per_block = blocks.select(
-        "doc_id",
-        size.cast("long").alias("chars"),
-        T.kanji(F.col("text")).cast("long").alias("kanji"),
-        T.hiragana(F.col("text")).cast("long").alias("hiragana"),
-        F.lit(1).cast("long").alias("paragraphs"),
-        (size >= paragraph).cast("long").alias("long_paragraphs"),
-        F.size("sentences").cast("long").alias("sentences"),
-        total(lengths).alias("sentence_chars"),
-        F.size(F.filter(lengths, lambda n: n >= sentence)).cast("long").alias("long_sentences"),
-        _run_count(F.col("sentences"), short, run).cast("long").alias("short_runs"),
-        total(marks).alias("commas"),
-    )
-    zero = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.lit(0).cast("long").alias(c) for c in COUNTERS])
-    return per_block.unionByName(zero).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    """A row per row of documents: all counters, zero without prose. Numbers alone leave the pass, and nothing is shuffled."""
+    flag = F.col(markdown) if isinstance(markdown, str) else F.lit(markdown)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [prose.counters(t or "", bool(md), paragraph, sentence, short, run) for t, md in zip(batch.column("text").to_pylist(), batch.column("md").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * len(COUNTERS)))], ["doc_id", *COUNTERS])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flag.alias("md"))
+    return rows.mapInArrow(count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTERS))
 
 
 def with_ratios(metrics: DataFrame) -> DataFrame:
@@ -137,10 +113,12 @@ def top_candidates(candidates: DataFrame, k: int, rank: str = "length", per: lis
     if k <= 0:
         return candidates.withColumn("omitted", F.lit(0).cast("long"))
     kept = candidates.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= k).drop("nth")
+    left = F.greatest(F.lit(0).cast("long"), F.count(F.lit(1)) - k).alias("omitted")
     if per:
-        sizes = candidates.groupBy(*per).agg(F.greatest(F.lit(0), F.count(F.lit(1)) - k).alias("omitted"))
-        return kept.join(sizes, per)
-    return kept
+        return kept.join(candidates.groupBy(*per).agg(left), per)
+    # Over all: a distributed top-k in place of the window, and one number for all its rows.
+    kept = candidates.orderBy(F.desc(rank), "doc_id", "line", "block").limit(k).withColumn("_all", F.lit(1))
+    return kept.join(candidates.agg(left).withColumn("_all", F.lit(1)), "_all").drop("_all")
 
 
 def pointer_counts(sentences: DataFrame) -> DataFrame:

@@ -35,9 +35,12 @@ def check_documents(documents: DataFrame, rules: list[dict] | None = None, profi
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def category_counts(findings: DataFrame) -> DataFrame:
-    """Findings of each category by document, zero-filled."""
-    return findings.groupBy("doc_id").pivot("category", list(notation.CATEGORIES)).count().na.fill(0)
+def category_counts(findings: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Findings of each category by document, zero-filled; with documents(doc_id), those without a finding too."""
+    counts = findings.groupBy("doc_id").pivot("category", list(notation.CATEGORIES)).count()
+    if documents is not None:
+        counts = documents.select("doc_id").join(counts, "doc_id", "left")
+    return counts.na.fill(0)
 
 
 def run_status(findings: DataFrame, documents: DataFrame, fail_on: str = "error") -> DataFrame:

@@ -11,9 +11,10 @@ from ..functions import notation
 from ..functions import text as T
 from ..operators import comparison, evaluation, feedback, ledger, preservation, readability, rules, structure
 from ..sources import markup, sinks
+from . import golden
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(golden.QUERIES)
+ORACLES: dict[str, str] = dict(golden.ORACLES)
 
 # Python's white space, for an engine whose \s is ASCII.
 _BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -67,11 +68,11 @@ _COUNTERS = f"""with {SENTENCES},
 q as (select doc_id, sent, n, (n < 20 and regexp_matches(s, '[。！？．!?][」』）)】〉》］\\]]*$')) as ok from v),
 g as (select *, sum(case when ok then 0 else 1 end) over (partition by doc_id order by sent) as island from q),
 r as (select doc_id, count(*) as short_runs from (select doc_id, island from g where ok group by 1, 2 having count(*) >= 3) group by 1),
-blocks as (select doc_id, length(regexp_replace(t, '{_BLANK}', '', 'g')) as chars from b),
-st as (select doc_id, count(*) as sentences, sum(n) as sentence_chars, count(*) filter (n >= 46) as long_sentences from v group by 1),
-metrics as (select d.doc_id, coalesce(chars, 0)::bigint as chars, 0::bigint as kanji, 0::bigint as hiragana, (chars is not null)::bigint as paragraphs,
+blocks as (select doc_id, length(regexp_replace(t, '{_BLANK}', '', 'g')) as chars, len(regexp_extract_all(t, '[一-鿿㐀-䶿豈-﫿々]')) as kanji, len(regexp_extract_all(t, '[ぁ-ゖゝ-ゟ]')) as hiragana from b),
+st as (select doc_id, count(*) as sentences, sum(n) as sentence_chars, count(*) filter (n >= 46) as long_sentences, sum(len(regexp_extract_all(s, '[、，]'))) as commas from v group by 1),
+metrics as (select d.doc_id, coalesce(chars, 0)::bigint as chars, coalesce(kanji, 0)::bigint as kanji, coalesce(hiragana, 0)::bigint as hiragana, (chars is not null)::bigint as paragraphs,
   coalesce(chars >= 200, false)::bigint as long_paragraphs, coalesce(sentences, 0)::bigint as sentences, coalesce(sentence_chars, 0)::bigint as sentence_chars,
-  coalesce(long_sentences, 0)::bigint as long_sentences, coalesce(short_runs, 0)::bigint as short_runs, 0::bigint as commas
+  coalesce(long_sentences, 0)::bigint as long_sentences, coalesce(short_runs, 0)::bigint as short_runs, coalesce(commas, 0)::bigint as commas
   from documents d left join blocks using (doc_id) left join st using (doc_id) left join r using (doc_id))"""
 
 
@@ -264,8 +265,7 @@ def unmatched_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def marker_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = comparison.parsed(turn_pairs(spark, sf_dir))
-    return comparison.marker_changes(comparison.alignment(parts), parts)
+    return comparison.marker_changes(comparison.alignment(comparison.parsed(turn_pairs(spark, sf_dir))))
 
 
 @query()
@@ -453,7 +453,7 @@ def _source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.bootstrap(_source_quality(spark, sf_dir))
+    return evaluation.bootstrap(_source_quality(spark, sf_dir), key="source")
 
 
 @query()
@@ -567,10 +567,10 @@ def tool_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.tool_evidence(rows).select("run_id", "tool_id", "pos", "name", F.col("output_chars").cast("string").alias("output_chars"))
 
 
-@query("select event_type as label, count(*) as runs, count(*) filter (value = 0) as error_free, count(*) filter (user_id % 2 = 0) as protected_kept from events group by 1")
+@query("select event_type as label, count(*) as runs, count(*) filter (value = 0) as error_free, count(*) filter (user_id % 2 = 0) as protected_kept, round(avg(value), 4) as mean_left, round(median(value), 4) as median_left from events group by 1")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), F.col("value").alias("errors_left"), (F.col("user_id") % 2 == 0).alias("kept_protected"))
-    return evaluation.run_summary(rows).drop("mean_left")
+    return evaluation.run_summary(rows).withColumns({c: F.round(c, 4) for c in ("mean_left", "median_left")})
 
 
 @query(
@@ -618,10 +618,10 @@ def claim_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.claim_scores(rows)
 
 
-@query("select count(*) as runs, sum(user_id)::bigint as calls, count(distinct event_type) = 1 as same_config, count(distinct event_id) = count(event_id) as ids_unique from events")
+@query("select count(*) as runs, sum(user_id)::bigint as calls, count(distinct event_type) = 1 as same_config, count(distinct event_id) = count(event_id) as ids_unique, round(sum(value), 2) as cost from events")
 def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return evaluation.merge_runs(e.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("config"), F.col("user_id").alias("calls"), F.col("value").alias("cost"))).drop("cost")
+    return evaluation.merge_runs(e.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("config"), F.col("user_id").alias("calls"), F.col("value").alias("cost"))).withColumn("cost", F.round("cost", 2))
 
 
 @query(

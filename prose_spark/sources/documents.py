@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+from urllib.parse import unquote, urlparse
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +30,44 @@ def guarded(path: Column, roots: list[str]) -> Column:
     return out
 
 
+def _found_in(path: Column, folder: str) -> Column:
+    """Files that a folder's walk gives: known suffixes in any case, nothing hidden and no skipped folder below it."""
+    below = F.split(F.substring(path, F.lit(len(folder) + 2), F.length(path)), "/")
+    hidden = F.exists(below, lambda part: part.startswith(".")) | F.exists(F.slice(below, 1, F.greatest(F.lit(0), F.size(below) - 1)), lambda part: part.isin(*SKIPPED))
+    return path.startswith(f"{folder}/") & ~hidden & F.lower(path).rlike(r"\.(?:" + "|".join(s[1:] for s in SUFFIXES) + ")$")
+
+
 def read_documents(spark: SparkSession, paths: list[str], keep_bom: bool = False) -> DataFrame:
-    """path, text, is_markdown, error: one row per different file, directories read recursively."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown,mdx,mkd,txt,MD,TXT}").load(paths)
-    part = F.split("path", "/")
-    seen = raw.filter(~F.exists(part, lambda p: p.isin(*SKIPPED) | ((F.length(p) > 1) & p.startswith(".")))).dropDuplicates(["path"])
+    """path, text, is_markdown, error: one row per different file, and one for each argument that names nothing.
+
+    A folder is read recursively, for files of known suffixes; a file named as such has any suffix; a pattern (* ? [) gives the files
+    that match. What an earlier argument gave is left out of the later ones by its path, so that no contents are shuffled."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows = "path string, text string, is_markdown boolean, error string"
+    out, taken, missing = [], F.lit(False), []
+    for argument in paths:
+        where = jvm.org.apache.hadoop.fs.Path(argument)
+        fs = where.getFileSystem(conf)
+        pattern = any(c in argument for c in "*?[") and not fs.exists(where)
+        status = [] if not pattern and not fs.exists(where) else list(fs.globStatus(where) or []) if pattern else [fs.getFileStatus(where)]
+        names = [s.getPath().toString() for s in status if not (pattern and s.isDirectory())]
+        if not names:
+            missing.append((argument, None, None, f"{'no files match' if pattern else 'not found'}: {argument}"))
+            continue
+        folder = not pattern and status[0].isDirectory()
+        here = _found_in(F.col("path"), names[0].rstrip("/")) if folder else F.col("path").isin(*names)
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", folder).load(names)
+        out.append(raw.filter(here & ~taken).select("path", "content"))
+        taken = taken | here
+    lost = spark.createDataFrame(missing, rows)
+    if not out:
+        return lost
+    raw = reduce(DataFrame.unionByName, out)
     good = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(good, F.decode("content", "UTF-8"))
-    return seen.select("path", (text if keep_bom else F.regexp_replace(text, "^﻿", "")).alias("text"), is_markdown(F.col("path")).alias("is_markdown"), F.when(~good, "not UTF-8").alias("error"))
+    text = F.when(good, F.col("content").cast("string"))
+    text = text if keep_bom else F.regexp_replace(text, "^\ufeff", "")
+    read = raw.select("path", text.alias("text"), is_markdown(F.col("path")).alias("is_markdown"), F.when(~good, "not UTF-8").alias("error"))
+    return read.unionByName(lost)
 
 
 def read_suite(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
@@ -54,7 +89,15 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tickets(spark: SparkSession, root: str) -> DataFrame:
-    """Feedback tickets below submitter folders: path, submitter, size, original; unreadable ones have no original."""
+    """Feedback tickets below submitters' folders: path (below the root), submitter (its first part; `unassigned` at the root), size, regular, content."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root)
-    body = F.from_json(F.decode("content", "UTF-8"), "consent struct<given boolean>, case struct<original string>")
-    return raw.select("path", F.element_at(F.split("path", "/"), -2).alias("submitter"), F.col("length").alias("size"), body["case"]["original"].alias("original"), F.lit(False).alias("reserved"))
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    path = F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path"))
+
+    @F.pandas_udf("boolean")
+    def regular(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: not (p.startswith("file:") and os.path.islink(unquote(urlparse(p).path))))
+
+    first = F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1)).otherwise("unassigned")
+    return raw.select(path.alias("path"), first.alias("submitter"), F.col("length").alias("size"), regular(F.col("path")).alias("regular"), "content")

@@ -1,5 +1,6 @@
 """Operators over small tables."""
 
+import json
 import random
 from collections import Counter
 
@@ -92,11 +93,22 @@ def test_literals(spark):
     items = spark.createDataFrame([(1, "aa"), (2, "abab"), (3, ""), (4, "aa")], "item_id long, text string")
     want = [(0, 1, 0, 1), (0, 1, 1, 1), (0, 2, 4, 2), (0, 4, 0, 1), (0, 4, 1, 1)]
     assert rows(preservation.forbidden_literals(d, items), "doc_id", "item_id", "offset", "line") == want
-    joined = preservation._joined_literals(d, items.filter("text <> ''"), prefix=3)
-    assert rows(joined, "doc_id", "item_id", "offset") == [w[:3] for w in want]
+    assert rows(preservation.forbidden_literals(d, items, most_bytes=0), "doc_id", "item_id", "offset", "line", "column") == rows(preservation.forbidden_literals(d, items), "doc_id", "item_id", "offset", "line", "column")
     assert rows(preservation.missing_literals(d, ["a", "none"]), "doc_id", "text") == [(0, "none"), (1, "a"), (2, "a"), (2, "none")]
 
 
+def test_many_hits_and_many_lines_take_seconds(spark):
+    import time
+
+    d = docs(spark, "needle in a haystack\n" * 50_000)
+    items = spark.createDataFrame([(1, "needle"), (2, "haystack\nneedle in a")], "item_id long, text string")
+    began = time.time()
+    assert preservation.forbidden_literals(d, items).agg(F.max("line"), F.count("*")).first() == (50_000, 99_999)
+    assert preservation.forbidden_literals(d, items, most_bytes=0).agg(F.max("line"), F.count("*")).first() == (50_000, 99_999)
+    assert docs(spark, "a\n\nb\nc\n" * 50_000).select(T.paragraphs(F.col("text"))).first()[0] == 50_001
+    assert time.time() - began < 40
+
+
 def test_brackets_are_located(spark):
     got = rows(preservation.brackets(docs(spark, "ok (fine)", "x\r\n（「雨）」", None)), "doc_id", "check_id", "line", "column", "opening_line", "opening_column")
     assert got == [(1, "BRACKET-ORDER", 2, 4, 2, 2)]
@@ -170,7 +182,7 @@ def test_alignment_of_long_texts_is_not_quadratic():
 
 def test_markers_and_style(spark):
     parts = pair(spark, "この設定は必要である。結果はまだ出ない。", "この設定は必要でしょう。結果はまだ出ない。")
-    got = {(r["side"], r["kind"]) for r in comparison.marker_changes(comparison.alignment(parts), parts).collect()}
+    got = {(r["side"], r["kind"]) for r in comparison.marker_changes(comparison.alignment(parts)).collect()}
     assert ("after", "conjecture") in got and ("before", "obligation") in got and not any(k == "negation" for _, k in got)
     style = comparison.style_shift(pair(spark, "見る。読む。", "見ます。読みます。")).first()
     assert (style["style_before"], style["style_after"], style["changed"]) == ("plain", "polite", True)
@@ -198,13 +210,15 @@ def test_rules_over_documents(spark):
 
 
 def test_bootstrap(spark):
-    v = lambda *x: spark.createDataFrame([(float(i),) for i in x], "value double")
+    v = lambda *x: spark.createDataFrame([(n, float(i)) for n, i in enumerate(x)], "document_id long, value double")
     for f in (evaluation.bootstrap, evaluation.bootstrap_exact):
         assert f(v(1)).first()["status"] == "insufficient"
         flat = f(v(0, 0, 0)).first()
         assert (flat["status"], flat["low"]) == ("degenerate", None)
         got = f(v(*range(20)), resamples=2000).first()
         assert got["status"] == "estimated" and 6 < got["low"] < 8.5 and 10.5 < got["high"] < 13
+    once, again = (evaluation.bootstrap(v(*range(20)).repartition(n), resamples=500).first() for n in (1, 5))
+    assert once == again
     two = evaluation.bootstrap_exact(v(1, -1)).first()
     assert (two["mean"], two["low"], two["high"]) == (0, -1, 1)
 
@@ -262,13 +276,77 @@ def test_shingle_overlaps_of_more_originals_than_a_crowd(spark):
         assert len(got) == len(want) and dict(got) == want
 
 
+def ticket(case=(), context=(), consent=(), **top):
+    body = {
+        "schema_version": 1,
+        "kind": "jre-feedback",
+        "consent": {"version": 1, "storage": True, "ai_processing": False, "publish": False} | dict(consent),
+        "context": {"mode": "A", "origin": "artificial", "skill_version": "", "model": ""} | dict(context),
+        "case": {"original": "元の文。", "result": "直した文。", "problem_type": "other", "quote": "直した", "quote_in": "result", "severity": "minor", "comment": ""} | dict(case),
+    }
+    return json.dumps(body | top, ensure_ascii=False).encode()
+
+
+TICKETS = {
+    "a/1.json": (ticket(), None),
+    "a/2.json": (ticket(), "sent before"),
+    "b/1.json": (ticket(), "sent before"),
+    "b/2.json": (ticket(case={"comment": "x", "request": "直して"}), None),
+    "c/big.json": (ticket(case={"comment": "x" * 1500}), "file too large"),
+    "d/0.json": (b"{", "not JSON"),
+    "d/1.json": (b"\xff{}", "not JSON"),
+    "d/2.json": (ticket(kind="x"), "other kind or version"),
+    "d/3.json": (ticket(schema_version=True), "other kind or version"),
+    "d/4.json": (ticket(case={"extra": 1}), "unknown or missing keys"),
+    "d/5.json": (ticket(note="x"), "unknown or missing keys"),
+    "d/6.json": (ticket(consent={"storage": "true"}), "no consent to storage"),
+    "d/7.json": (ticket(consent={"publish": 1}), "consent not true or false"),
+    "d/8.json": (ticket(context={"mode": "E"}), "unknown mode or origin"),
+    "d/9.json": (ticket(case={"original": " "}), "text missing, empty or too long"),
+    "e/1.json": (ticket(case={"comment": "a\x07"}), "control characters"),
+    "e/2.json": (ticket(case={"severity": "huge"}), "unknown problem type or severity"),
+    "e/3.json": (ticket(case={"quote": "ない"}), "quote not in its text"),
+    "e/4.json": (ticket().replace(b'"case": {', b'"case": "x", "other": {'), "parts missing"),
+    "e/5.json": (b"[" * 1400, "not JSON"),
+    "f g/1.json": (ticket(), "bad submitter"),
+    "g/1.json": (ticket(case={"original": "取り 置き"}), "reserved document"),
+}
+
+
 def test_intake(spark):
-    t = spark.createDataFrame(
-        [("a/1", 10, "text", "a", False), ("a/2", 10, "text", "a", False), ("b/1", 10, "text", "b", False), ("c/1", 5000, "x", "c", False), ("d/1", 1, " ", "d", False), ("e/1", 1, "x", "e f", False), ("f/1", 1, "y", "f", True)],
-        "path string, size long, original string, submitter string, reserved boolean",
-    )
-    got = dict(feedback.intake(t, most_bytes=1000).select("path", "reason").collect())
-    assert got == {"a/1": None, "a/2": "sent before", "b/1": None, "c/1": "file too large", "d/1": "no original", "e/1": "bad submitter", "f/1": "reserved document"}
+    rows_ = [(p, p.split("/")[0], len(b), True, b) for p, (b, _) in TICKETS.items()]
+    schema = "path string, submitter string, size long, regular boolean, content binary"
+    held = spark.range(1).select(T.whitespace_free_id(F.lit("取り置き")).alias("document_id"))
+    got = feedback.intake(spark.createDataFrame(rows_, schema), held, most_bytes=1500).collect()
+    assert {r["path"]: r["reason"] for r in got} == {p: reason for p, (_, reason) in TICKETS.items()}
+    assert all(r["finding_id"] and len(r["finding_id"]) == 13 for r in got if r["reason"] is None)
+    few = [(f"a/{i}.json", "a", 400, i != 2, ticket(case={"comment": str(i)})) for i in range(8)]
+    got = {r["path"][2]: r["reason"] for r in feedback.intake(spark.createDataFrame(few, schema), most_files=6, total_bytes=1200).collect()}
+    assert got == {"0": None, "1": None, "2": "not a regular file", "3": None, "4": "inbox too large", "5": "inbox too large", "6": "too many files", "7": "too many files"}
+
+
+def test_tickets_are_read_from_folders(spark, tmp_path):
+    (tmp_path / "in" / "ann" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "ann" / "deep" / "1.json").write_bytes(ticket())
+    (tmp_path / "in" / "2.json").write_bytes(ticket(case={"comment": "2"}))
+    (tmp_path / "in" / "ann" / "3.json").symlink_to(tmp_path / "in" / "2.json")
+    got = files.read_tickets(spark, str(tmp_path / "in"))
+    assert rows(got, "path", "submitter", "regular") == [("2.json", "unassigned", True), ("ann/3.json", "ann", False), ("ann/deep/1.json", "ann", True)]
+    assert rows(feedback.intake(got), "path", "reason") == [("2.json", None), ("ann/3.json", "not a regular file"), ("ann/deep/1.json", None)]
+
+
+def test_inputs_are_expanded(spark, tmp_path):
+    root = tmp_path / ".hidden" / "docs"
+    (root / "sub").mkdir(parents=True)
+    (root / "node_modules").mkdir()
+    (root / ".git").mkdir()
+    for name, body in (("a.MD", b"\xef\xbb\xbfa"), ("b.Txt", b"b"), ("c.py", b"c"), ("sub/d.mkd", b"\xff"), (".e.md", b"e"), ("node_modules/f.md", b"f"), (".git/g.md", b"g")):
+        (root / name).write_bytes(body)
+    read = lambda *paths, **how: sorted((r["path"] if r["error"] and r["text"] is None and r["is_markdown"] is None else r["path"].rpartition("/")[2], r["text"], r["error"]) for r in files.read_documents(spark, list(paths), **how).collect())
+    assert read(str(root)) == [("a.MD", "a", None), ("b.Txt", "b", None), ("d.mkd", None, "not UTF-8")]
+    assert read(str(root / "c.py"), str(root), str(root / "b.Txt")) == [("a.MD", "a", None), ("b.Txt", "b", None), ("c.py", "c", None), ("d.mkd", None, "not UTF-8")]
+    assert read(str(root / "*.py"), str(root / "*.nothing"), str(root / "none")) == [(str(root / "*.nothing"), None, f"no files match: {root / '*.nothing'}"), (str(root / "none"), None, f"not found: {root / 'none'}"), ("c.py", "c", None)]
+    assert read(str(root / "a.MD"), keep_bom=True) == [("a.MD", "\ufeffa", None)]
 
 
 def test_ledger(spark):
