@@ -219,13 +219,15 @@ def _canonical(fps: np.ndarray, radius: int, earlier: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([i, j]))
 
 
-def candidate_buckets(fps: DataFrame, radius: int, scratch: Scratch, bucket: int = 1024) -> DataFrame:
+def candidate_buckets(fps: DataFrame, radius: int, scratch: Scratch, bucket: int = 512) -> DataFrame:
     """Different fingerprints (print, fp) -> (bucket, print, fp) so that any two of one print within the radius are in one bucket together;
     members without such a partner are left out, as are those whose partners all meet them in an earlier table."""
     levels: list[DataFrame] = []
     rows = fps.select("print", "fp", F.lit(0).cast("long").alias("key"))
     for level in count():
         masks = covering_masks(radius, level)
+        # Each row becomes a row per table: tasks are dealt by what comes out, which no size of what comes in tells.
+        rows = rows.repartition(max(1, rows.count() * len(masks) // 2_000_000), "fp")
         tables = F.array(*[F.lit(_signed(m)) for m in masks])
         keyed = rows.select("print", "fp", "key", F.posexplode(tables).alias("table", "mask"))
         keyed = keyed.select("print", "fp", "table", F.xxhash64(F.lit(level), "print", "key", "table", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
@@ -288,7 +290,7 @@ def _verified(units: DataFrame, radius: int, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, members = None, []
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             found: list[tuple[int, int]] = []
             for u, *member in zip(*(batch.column(c).to_pylist() for c in ("unit", "node", "side", "cross", "fp", "set"))):
                 if u != unit:
@@ -346,7 +348,7 @@ def near_links(documents: DataFrame, shingle: int, similarity: float, radius: in
     nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("fps").alias("fps"))
     nodes = scratch.save(nodes.select("node", "first.doc_id", "first.h", "fps"))
     members = scratch.save(nodes.select("node", F.posexplode("fps").alias("print", "fp")))
-    buckets = candidate_buckets(members.select("print", "fp").distinct(), radius, scratch)
+    buckets = candidate_buckets(scratch.save(members.select("print", "fp").distinct()), radius, scratch)
     units = scratch.save(_units(buckets, members, most, scratch))
 
     wanted = nodes.join(units.select(F.col("node").alias("_node")).distinct().hint("shuffle_merge"), F.col("node") == F.col("_node"))
