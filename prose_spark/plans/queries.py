@@ -234,15 +234,21 @@ def term_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", F.array_join("directions", ",").alias("directions"))
 
 
+#: Pairs with numbers, which the conversations have none of.
+_NUMBERED = [(-1, "30 ms and 30 ms, then 5%", "30 ms, then 7%"), (-2, "1.5 GB in 3 parts", "3 parts of 1.5 GB"), (-3, "12", "12 12")]
+
+
 @query(
-    rf"""with {PAIRS}, sides as (select pair_id, 1 as side, before as t from pairs union all select pair_id, -1, after from pairs),
+    rf"""with {PAIRS}, more as (select * from pairs union all values {", ".join(map(str, _NUMBERED))}),
+    sides as (select pair_id, 1 as side, before as t from more union all select pair_id, -1, after from more),
     rows as (select pair_id, side, unnest(string_split(t, chr(10))) as line from sides),
     keys as (select pair_id, side, replace(unnest(regexp_extract_all(line, '\p{{Nd}}+(?:[.,]\p{{Nd}}+)*[万億兆]?(?:\s?(?:%|[A-Za-z]+))?')), ' ', '') as key from rows),
     net as (select pair_id, key, sum(side) as n from keys group by 1, 2 having sum(side) <> 0)
     select pair_id, key, case when n > 0 then 'missing' else 'added' end as change, abs(n)::bigint as n from net"""
 )
 def number_surplus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = comparison.parsed(turn_pairs(spark, sf_dir), markdown=False)
+    pairs = turn_pairs(spark, sf_dir).unionByName(spark.createDataFrame(_NUMBERED, "pair_id long, before string, after string"))
+    parts = comparison.parsed(pairs, markdown=False)
     rows = comparison.surplus(comparison.item_rows(parts).filter("kind = 'number'"))
     return rows.groupBy("pair_id", "key", "change").agg(F.count(F.lit(1)).alias("n"))
 
