@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import notation
 
-# File names, enumerations and shapes of the rule data.
-FILES = {"rules": "kokugo-rules.json", "sources": "kokugo-sources.json", "characters": "joyo-kanji.json", "homophones": "ijidokun.json"}
+#: Names of the files in a folder; other names can be given.
+FILES = {"rules": "rules.json", "sources": "sources.json", "characters": "characters.json", "homophones": "homophones.json"}
+# Enumerations and shapes of the rule data.
 VERSION = 1
 FAMILIES = ("kanji", "kana", "okurigana", "gairai", "numeral", "punctuation", "expression", "ijidokun", "consistency", "reference")
 BINDING = ("内閣告示", "内閣訓令")
@@ -25,12 +26,12 @@ RULE_ID = re.compile(r"KOKUGO-[A-Z]+-\d{3}")
 PAGES = re.compile(r"PDF (?:全(?P<all>\d+)ページ|pp?\.(?P<list>\d+(?:-\d+)?(?:, \d+(?:-\d+)?)*))")
 
 
-def read_rule_files(spark: SparkSession, folder: str) -> dict[str, dict]:
+def read_rule_files(spark: SparkSession, folder: str, names: dict[str, str] = FILES) -> dict[str, dict]:
     """The four documents; ValueError for one that is missing, not JSON or of another version."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-    found = {r["path"].rpartition("/")[2]: bytes(r["content"]) for r in rows.filter(F.substring_index("path", "/", -1).isin(*FILES.values())).select("path", "content").collect()}
+    found = {r["path"].rpartition("/")[2]: bytes(r["content"]) for r in rows.filter(F.substring_index("path", "/", -1).isin(*names.values())).select("path", "content").collect()}
     out = {}
-    for name, file in FILES.items():
+    for name, file in names.items():
         if file not in found:
             raise ValueError(f"{file}: missing")
         try:
@@ -38,7 +39,7 @@ def read_rule_files(spark: SparkSession, folder: str) -> dict[str, dict]:
         except ValueError as e:
             raise ValueError(f"{file}: not JSON") from e
     if out["rules"].get("schema_version") != VERSION or "rules" not in out["rules"]:
-        raise ValueError(f"{FILES['rules']}: version {VERSION} with rules expected")
+        raise ValueError(f"{names['rules']}: version {VERSION} with rules expected")
     return out
 
 
@@ -58,9 +59,9 @@ def rule_of(raw: dict, files: dict[str, dict]) -> dict:
     return rule
 
 
-def load_rules(spark: SparkSession, folder: str) -> list[dict]:
+def load_rules(spark: SparkSession, folder: str, names: dict[str, str] = FILES) -> list[dict]:
     """The rules of a folder, for `rules.check_documents` and `rules.coverage`."""
-    files = read_rule_files(spark, folder)
+    files = read_rule_files(spark, folder, names)
     return [rule_of(raw, files) for raw in files["rules"]["rules"]]
 
 

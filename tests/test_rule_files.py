@@ -46,7 +46,7 @@ def test_rules_are_loaded_and_applied(spark, tmp_path):
     cover = {r["rule_id"][-3:]: (r["checked"], r["category"], r["not_checked"]) for r in rule_files.coverage(spark, loaded, "official").collect()}
     assert cover["002"] == (True, "error", None) and cover["005"] == (False, None, "文脈による") and len(cover) == 5
     (tmp_path / rule_files.FILES["characters"]).unlink()
-    with pytest.raises(ValueError, match="joyo-kanji.json: missing"):
+    with pytest.raises(ValueError, match="characters.json: missing"):
         rule_files.load_rules(spark, str(tmp_path))
 
 
