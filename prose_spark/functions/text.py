@@ -185,6 +185,24 @@ def matches_any_glob(path: Column, patterns: Column) -> Column:
     return (F.size(patterns) == 0) | F.exists(patterns, lambda p: F.regexp_like(path, regex(p)))
 
 
+def touches(path: Column, before: Column, patterns: Column) -> Column:
+    """Whether a file, or the name it had before, matches one of the shell patterns."""
+    return matches_any_glob(path, patterns) | F.coalesce((before != "") & matches_any_glob(before, patterns), F.lit(False))
+
+
+def only_hiragana_added(small: Column, big: Column) -> Column:
+    """Whether big is small with nothing but hiragana put in, wherever."""
+    literal = lambda ch: F.concat(F.lit(r"\Q"), ch, F.lit(r"\E"))
+    parts = F.transform(F.filter(F.split(small, ""), lambda ch: ch != ""), literal)
+    return F.regexp_like(big, F.concat(F.lit("^[ぁ-ゖ]*"), F.array_join(F.transform(parts, lambda p: F.concat(p, F.lit("[ぁ-ゖ]*"))), ""), F.lit(r"\z")))
+
+
+def utc_stamp(at: Column) -> Column:
+    """A moment as 2026-01-31T00:00:00Z, whatever the session's time zone."""
+    since = F.make_dt_interval(secs=F.unix_seconds(at))
+    return F.concat(F.replace((F.lit("1970-01-01").cast("timestamp_ntz") + since).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 def in_order(text: Column, terms: list[str]) -> Column:
     """Whether the terms' first places increase strictly; false if one is missing."""
     at = [F.locate(t, text) for t in terms]

@@ -237,15 +237,29 @@ def coverage_gaps(wanted: DataFrame, got: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, state.alias("state")).filter("state is not null")
 
 
+def _ranked(ids: DataFrame, key: str, seed: int) -> DataFrame:
+    """Different ids with their place (from 1) in the order of a seeded hash. The upper bits of the hash name a bucket, whose sizes (1,024 rows
+    at most) say where it begins: no task ranks them all."""
+    rows = ids.select(key).withColumn("h", F.xxhash64(key, F.lit(seed))).withColumn("bucket", F.shiftright("h", 54))
+    starts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select("bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("h", key))
+    return rows.withColumn("nth", nth).join(F.broadcast(starts), "bucket").select(key, (F.col("before") + F.col("nth")).alias("nth"))
+
+
 def balanced_assignment(pairs: DataFrame, seed: int = 0) -> DataFrame:
-    """pairs(pair_id, document_id) -> which candidate is shown first: half of the documents each, one orientation per document.
+    """pairs(pair_id, document_id) -> which candidate is shown first: half of the documents each (one more or less if they are odd),
+    one orientation per document, in a seeded order."""
+    turned = _ranked(pairs.select("document_id").distinct(), "document_id", seed)
+    return pairs.join(turned.select("document_id", (F.pmod("nth", F.lit(2)) == seed % 2).alias("swapped")), "document_id")
+
 
-    Ranks come from a seeded hash per document in buckets, so that no single task ranks all documents."""
-    docs = pairs.select("document_id").distinct().withColumn("h", F.xxhash64("document_id", F.lit(seed)))
-    docs = docs.withColumn("bucket", F.pmod("h", F.lit(64)))
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "document_id"))
-    docs = docs.select("document_id", (F.pmod(nth + F.col("bucket"), F.lit(2)) == 0).alias("swapped"))
-    return pairs.join(docs, "document_id")
+def reader_assignment(pairs: DataFrame, side: str, seed: int = 0) -> DataFrame:
+    """pairs(pair_id, document_id, first, second: names of the candidates) -> pair_id, document_id, variant that a reader of `left` or `right` gets."""
+    shown = F.when(F.col("swapped"), F.col("second")).otherwise(F.col("first"))
+    other = F.when(F.col("swapped"), F.col("first")).otherwise(F.col("second"))
+    return balanced_assignment(pairs, seed).select("pair_id", "document_id", (shown if side == "left" else other).alias("variant"))
 
 
 def schedule(inputs: DataFrame, versions: list[str], runs: int) -> DataFrame:
@@ -255,6 +269,81 @@ def schedule(inputs: DataFrame, versions: list[str], runs: int) -> DataFrame:
 
 
 def shuffled_batches(items: DataFrame, size: int = 15, seed: int = 20261016) -> DataFrame:
-    """Grading items in a seeded order, numbered, in batches of `size`. The set of items of a run is small by nature."""
-    nth = F.row_number().over(Window.orderBy(F.xxhash64("id", F.lit(seed)), "id"))
-    return items.withColumn("nth", nth).select("*", F.format_string("g%03d", "nth").alias("label"), F.floor((F.col("nth") - 1) / size).alias("batch"))
+    """Grading items in a seeded order, numbered, in batches of `size`; rows of one id have one number."""
+    rows = items.join(_ranked(items.select("id").distinct(), "id", seed), "id")
+    return rows.select("*", F.format_string("g%03d", "nth").alias("label"), F.floor((F.col("nth") - 1) / size).alias("batch"))
+
+
+def first_and_more(rows: DataFrame, order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The first rows in that order (all if `most` is 0 or less), and one row that says how many more there are."""
+    shown = rows.orderBy(*order) if most <= 0 else rows.orderBy(*order).limit(most)
+    left = F.lit(0).cast("long") if most <= 0 else F.greatest(F.lit(0).cast("long"), F.count(F.lit(1)) - most)
+    return shown, rows.agg(F.count(F.lit(1)).alias("rows"), left.alias("more")).select("more")
+
+
+CONTENT = ("request", "context", "audience", "original", "candidate")
+
+
+def grader_pairs(assigned: DataFrame, decisions: DataFrame, tasks: DataFrame, judgments: DataFrame) -> DataFrame:
+    """assigned(source_id, variant, content...), decisions(source_id, variant, status), tasks(id, source_id, variant, content...), judgments(id, contract)
+    -> source_id, variant, human, machine, problem. Both graders must have seen the same content; a task without a judgment is `missing`."""
+    key = ["source_id", "variant"]
+    same = F.lit(True)
+    for c in CONTENT:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    judged = tasks.join(judgments.select("id", "contract"), "id", "left")
+    theirs = judged.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("contract").alias("contract"), *[F.max(c).alias(f"_{c}") for c in CONTENT])
+    rows = assigned.select(*key, *CONTENT, F.lit(1).alias("ours")).join(theirs, key, "full_outer").join(decisions.select(*key, "status"), key, "left")
+    said = F.create_map(*[F.lit(x) for x in ("confirmed_problem", "fail", "no_problem", "pass", "unresolved", "uncertain")])
+    problem = (
+        F.when(F.col("ours").isNull(), "unknown candidate").when(F.col("n").isNull(), "no task").when(F.col("n") > 1, "several tasks").when(~same, "other content").when(F.col("status").isNull(), "no decision")
+    )
+    return rows.select(*key, F.try_element_at(said, F.col("status")).alias("human"), F.coalesce("contract", F.lit("missing")).alias("machine"), problem.alias("problem"))
+
+
+def labelled_run(run: DataFrame, labels: DataFrame, key: str = "case_id") -> DataFrame:
+    """Every case of a run with its label; `problem` names cases that have none."""
+    known = labels.withColumn("_known", F.lit(True))
+    return run.join(known, key, "left").withColumn("problem", F.when(F.col("_known").isNull(), "no label")).drop("_known")
+
+
+def document_outcomes(reviews: DataFrame) -> DataFrame:
+    """reviews(document_id, first, second: contracts of the two versions, selected: first, second or tie) -> per document the share of failures of
+    the second less that of the first, over reviews that decided both, and the balance of preferences (second 1, first -1), over reviews that both passed."""
+    decided = F.col("first").isin("pass", "fail") & F.col("second").isin("pass", "fail")
+    worse = (F.col("second") == "fail").cast("int") - (F.col("first") == "fail").cast("int")
+    vote = F.when(F.col("selected") == "first", -1).when(F.col("selected") == "second", 1).when(F.col("selected") == "tie", 0)
+    vote = F.when((F.col("first") == "pass") & (F.col("second") == "pass"), vote)
+    return reviews.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("completed"), F.count_if(decided).alias("determined"), F.count(vote).alias("votes"), F.avg(F.when(decided, worse)).alias("fail_rate_difference"), F.avg(vote).alias("preference_balance")
+    )
+
+
+def paired_estimates(outcomes: DataFrame, exact: bool = False, resamples: int = 9999, seed: int = 0) -> DataFrame:
+    """document_outcomes() -> metric, documents, mean, status, low, high, for both metrics over documents that have them."""
+    parts = []
+    for metric in ("fail_rate_difference", "preference_balance"):
+        own = outcomes.filter(F.col(metric).isNotNull()).select("document_id", F.col(metric).alias("value"))
+        found = bootstrap_exact(own, resamples, seed) if exact else bootstrap(own, resamples, seed)
+        parts.append(found.select(F.lit(metric).alias("metric"), "documents", "mean", "status", "low", "high"))
+    return parts[0].unionByName(parts[1])
+
+
+# What is asked of each kind of document.
+ASPECTS = {
+    "core": ("negation_polarity", "condition_scope", "actor_target", "modality_strength", "ungrounded_specificity", "unnecessary_change"),
+    "gov-org": ("negation_polarity", "condition_scope", "actor_target", "modality_strength", "numbers_order", "ungrounded_specificity", "unnecessary_change"),
+    "tech": ("negation_polarity", "condition_scope", "numbers_order", "ungrounded_specificity", "unnecessary_change"),
+    "essay": ("negation_polarity", "sentence_function", "rhetoric_tone", "ungrounded_specificity", "unnecessary_change"),
+    "all": ("negation_polarity", "condition_scope", "actor_target", "modality_strength", "sentence_function", "numbers_order", "ungrounded_specificity", "unnecessary_change", "rhetoric_tone"),
+}
+
+
+def aspect_gaps(cases: DataFrame, verdicts: DataFrame, aspects: dict[str, tuple[str, ...]] = ASPECTS) -> DataFrame:
+    """cases(case_id, profile), verdicts(case_id, aspect, value) -> case_id, aspect, state: `missing`, `not asked` or `unknown value`."""
+    table = F.create_map(*[x for k, v in aspects.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    asked = cases.select("case_id", F.explode(F.try_element_at(table, F.col("profile"))).alias("aspect")).withColumn("asked", F.lit(1))
+    rows = asked.join(verdicts.withColumn("given", F.lit(1)), ["case_id", "aspect"], "full_outer")
+    bad = ~F.coalesce(F.col("value").isin("pass", "fail", "uncertain"), F.lit(False))
+    state = F.when(F.col("given").isNull(), "missing").when(F.col("asked").isNull(), "not asked").when(bad, "unknown value")
+    return rows.select("case_id", "aspect", state.alias("state")).filter("state is not null")

@@ -56,6 +56,18 @@ def pattern_hits(sentences: DataFrame, pattern: str) -> DataFrame:
 
 
 def source_changes(watched: DataFrame) -> DataFrame:
-    """watched(source_id, reviewed, head, error): the state of each watched source."""
+    """watched(source_id, reviewed, head, error, and if it likes enabled): the state of each watched source."""
     state = F.when(F.col("error").isNotNull(), "error").when(F.col("head").isNull(), "gone").when(F.col("reviewed").isNull(), "new").when(F.col("reviewed") == F.col("head"), "unchanged").otherwise("changed")
+    if "enabled" in watched.columns:
+        state = F.when(~F.coalesce("enabled", F.lit(True)), "disabled").otherwise(state)
     return watched.select("source_id", state.alias("state"))
+
+
+def change_counts(changes: DataFrame) -> DataFrame:
+    """How many sources are in each state."""
+    return changes.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def watched_files(files: DataFrame) -> DataFrame:
+    """files(source_id, filename, previous_filename, patterns): those that touch what is watched, by their name or the one they had before."""
+    return files.filter(T.touches(F.col("filename"), F.col("previous_filename"), F.col("patterns")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import comparison, evaluation, feedback, preservation, readability, rules
+from ..operators import comparison, evaluation, feedback, preservation, readability, rules, structure, validation
 from ..sources import markup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -440,3 +440,222 @@ def golden_text_functions(spark: SparkSession) -> DataFrame:
     t = F.col("text")
     docs = _texts(spark, ["モード A で直す、々と𠮷。", "前 {\"a\": {\"b\": 1}} 後」", "一\n\n二\n三\r\n \r\n四", "見る https://a.example/b). と http://c.example,", "　長い" + "文" * 40 + "！」", "a‮b\x07c モードA モードB"])
     return docs.select("doc_id", T.kanji(t).alias("kanji"), T.hiragana(t).alias("hiragana"), T.commas(t).alias("commas"), T.ends_with_terminator(t).alias("ended"), T.preview(t).alias("preview"), T.mode_of(t).alias("mode"), T.json_slice(t).alias("json"), T.cleaned(t, 12).alias("cleaned"), T.paragraphs(t).alias("paragraphs"), F.size(T.urls(t)).alias("n_urls"))
+
+
+PROBLEMS = "id varchar, problem varchar"
+
+
+@golden(
+    PROBLEMS,
+    [
+        ("b", "no input"),
+        ("c", "field missing"),
+        ("c", "preserve empty"),
+        ("d", "covers empty"),
+        ("d", "forbid empty"),
+        ("e", "id occurs again"),
+    ],
+)
+def golden_suite_cases(spark: SparkSession) -> DataFrame:
+    full, part = ["x"], ["x", " "]
+    cases = [("a", "r", "", "t", "d", full, full, full), ("b", "r", " ", "", "d", full, full, full), ("c", None, "c", "t", "d", [], full, full), ("d", "r", "c", "", "d", full, None, part)]
+    cases += [("e", "r", "c", "t", "d", full, full, full)] * 2
+    lists = "array<string>"
+    return validation.case_problems(spark.createDataFrame(cases, f"id string, request string, context string, text string, domain string, preserve {lists}, forbid {lists}, covers {lists}"))
+
+
+@golden(PROBLEMS, [("b", "no candidate"), ("c", "unknown expectation"), ("d", "field missing"), ("d", "no input")])
+def golden_suite_controls(spark: SparkSession) -> DataFrame:
+    rows = [("a", "", "t", "x", "pass"), ("b", "c", "", " ", "fail"), ("c", "c", "t", "x", "uncertain"), ("d", None, "", "x", "pass")]
+    return validation.control_problems(spark.createDataFrame(rows, "id string, context string, text string, candidate string, expected string"))
+
+
+@golden(PROBLEMS, [("b", "no original"), ("d", "unknown operation"), ("e", "no original"), ("g", "unknown mode"), ("g", "no request")])
+def golden_tasks(spark: SparkSession) -> DataFrame:
+    rows = [("a", "A", None, "r", None, "x"), ("b", "B", None, "r", "", "x"), ("c", "C", None, "r", "o", "x"), ("d", "D", "rewrite", "r", "", "x"), ("e", "D", "revise", "r", "", "x"), ("f", "D", "draft", "r", "", "x"), ("g", "E", None, "", "o", "x")]
+    return validation.task_problems(spark.createDataFrame(rows, "id string, mode string, operation string, request string, original string, candidate string"))
+
+
+@golden(
+    PROBLEMS,
+    [("b", "mode is not B"), ("c", "not two candidates"), ("c", "other candidates"), ("d", "bad candidate name"), ("d", "other candidates"), ("e", "no candidate")],
+)
+def golden_pair_inputs(spark: SparkSession) -> DataFrame:
+    two = {"v1": "x", "v2": "y"}
+    rows = [("a", "B", "o", two), ("b", "A", "o", two), ("c", "B", "o", {"v1": "x"}), ("d", "B", "o", {"v1": "x", "tie": "y"}), ("e", "B", "o", {"v1": "x", "v2": " "})]
+    return validation.pair_problems(spark.createDataFrame(rows, "id string, mode string, original string, candidates map<string, string>"))
+
+
+SCORES = {"readability": 5, "naturalness": None, "style": 1}
+
+
+@golden(
+    PROBLEMS,
+    [
+        ("c", "unknown contract"),
+        ("c", "preference without a pass"),
+        ("d", "score dimensions"),
+        ("e", "score not 1 to 5"),
+        ("f", "preference without a pass"),
+        ("g", "preference without a comparison"),
+        ("h", "comparison without a preference"),
+        ("i", "unknown preference"),
+        ("i", "no reason"),
+    ],
+)
+def golden_reviews(spark: SparkSession) -> DataFrame:
+    rows = [
+        ("a", "B", "pass", SCORES, "candidate", "r"), ("b", "A", "fail", SCORES, "not_applicable", "r"), ("c", "B", "maybe", SCORES, "tie", "r"), ("d", "C", "pass", {"style": 3}, "tie", "r"),
+        ("e", "B", "pass", SCORES | {"style": 6}, "tie", "r"), ("f", "B", "fail", SCORES, "original", "r"), ("g", "D", "pass", SCORES, "uncertain", "r"), ("h", "C", "pass", SCORES, "not_applicable", "r"),
+        ("i", "B", "pass", SCORES, "both", " "),
+    ]
+    return validation.review_problems(spark.createDataFrame(rows, "id string, mode string, contract string, scores map<string, int>, preference string, reason string"))
+
+
+@golden(PROBLEMS, [("c", "unknown issue"), ("c", "quote not in candidate"), ("d", "unknown severity"), ("d", "issue without a reason"), ("e", "quote not in candidate")])
+def golden_candidate_reviews(spark: SparkSession) -> DataFrame:
+    issues = {"a": [], "b": [("number", "major", "三つ", "数が違う")], "c": [("spelling", "minor", "四つ", "r")], "d": [("style", "huge", "ある", "")], "e": [("other", "minor", " ", "r")], "f": None}
+    rows = [(k, "箱が三つある。", "pass", SCORES, "r", v) for k, v in issues.items()]
+    kind = "array<struct<category: string, severity: string, quote: string, reason: string>>"
+    return validation.candidate_problems(spark.createDataFrame(rows, f"id string, candidate string, contract string, scores map<string, int>, reason string, issues {kind}"))
+
+
+@golden(PROBLEMS, [("b", "preference without two passes"), ("d", "unknown preference"), ("e", "no reason"), ("e", "unknown contract")])
+def golden_pair_reviews(spark: SparkSession) -> DataFrame:
+    rows = [("a", "pass", "pass", "left", "r"), ("b", "pass", "fail", "left", "r"), ("c", "pass", "fail", "uncertain", "r"), ("d", "pass", "pass", "both", "r"), ("e", None, "pass", "uncertain", "")]
+    return validation.pair_review_problems(spark.createDataFrame(rows, "id string, left_contract string, right_contract string, preference string, reason string"))
+
+
+@golden(
+    PROBLEMS,
+    [("b", "fewer than two options"), ("b", "no such answer"), ("c", "options repeated"), ("d", "evidence not in text"), ("d", "no verified_by"), ("e", "id occurs again")],
+)
+def golden_questions(spark: SparkSession) -> DataFrame:
+    def row(i: str, doc: str = "x", options: list[str] = ["三", "四"], answer: int = 0, evidence: str = "三つ", by: str = "v") -> tuple:  # noqa: B006
+        return i, doc, "いくつ", options, answer, evidence, by, "r", "箱が三つある。"
+
+    rows = [row("a"), row("b", options=["三"], answer=1), row("c", options=["三", "三"]), row("d", evidence="四つ", by=""), row("e"), row("e"), row("a", "y")]
+    return validation.question_problems(spark.createDataFrame(rows, "id string, document_id string, prompt string, options array<string>, answer_index int, evidence string, verified_by string, verification_reason string, original string"))
+
+
+@golden(
+    PROBLEMS,
+    [
+        ("f2", "confirmed without preserve, forbid or rules"),
+        ("f3", "made from other findings"),
+        ("f4", "unknown status, split or type"),
+        ("f5", "quote not in text"),
+        ("f6", "confirmer, reason or quote missing"),
+        ("f7", "no decision"),
+        ("f8", "id occurs again"),
+        ("f9", "unknown finding"),
+    ],
+)
+def golden_decisions(spark: SparkSession) -> DataFrame:
+    sha, full = "s", ["x"]
+
+    def row(i: str, status: str = "no_problem", split: str = "tuning", who: str = "c", quote: str = "三つ", of: str = sha, rules: list[str] = full) -> tuple:
+        return i, of, status, split, "other", who, "r", quote, full, full, rules
+
+    rows = [
+        row("f1", "confirmed_problem"), row("f2", "confirmed_problem", rules=[]), row("f3", of="t"), row("f4", split="test"), row("f5", quote="四つ"), row("f6", who=" "), row("f8"), row("f8"), row("f9"),
+        row("f0", "unresolved", who="", quote=""),
+    ]
+    lists = "preserve array<string>, forbid array<string>, rule_ids array<string>"
+    decisions = spark.createDataFrame(rows, f"finding_id string, findings_sha256 string, status string, split string, problem_type string, confirmer string, reason string, quote string, {lists}")
+    findings = spark.createDataFrame([(f"f{i}", "箱が三つ。", "箱は三つ。") for i in range(9)], "finding_id string, original string, result string")
+    return validation.decision_problems(decisions, findings, sha, feedback.PROBLEM_TYPES)
+
+
+@golden(
+    PROBLEMS,
+    [("b", "not an adopted excerpt"), ("c", "other split"), ("d", "other document id"), ("e", "no audience"), ("s1", "several excerpts of one source")],
+)
+def golden_excerpt_cases(spark: SparkSession) -> DataFrame:
+    texts = {"x1": ("s1", "adopted", "final", "一"), "x2": ("s1", "adopted", "final", "二"), "x3": ("s2", "adopted", "tuning", "三"), "x4": ("s3", "candidate", "final", "四"), "x5": ("s4", "adopted", "final", "五")}
+    excerpts = spark.createDataFrame([(k, *v) for k, v in texts.items()], "id string, source_id string, status string, split string, text string").withColumn("text_sha256", F.sha2("text", 256))
+    cases = [("a", "x1", "一", "r", "u"), ("b", "x4", "四", "r", "u"), ("c", "x3", "三", "r", "u"), ("d", "s1", "二", "r", "u"), ("e", "x5", "五", "r", None)]
+    return validation.excerpt_case_problems(spark.createDataFrame(cases, "id string, document_id string, original string, request string, audience string"), excerpts, "final", "excerpt")
+
+
+@golden(
+    "source_id varchar, variant varchar, human varchar, machine varchar, problem varchar",
+    [
+        ("a", "v1", "fail", "fail", None),
+        ("a", "v2", "pass", "missing", None),
+        ("b", "v1", "uncertain", "pass", "other content"),
+        ("c", "v1", None, "pass", "no decision"),
+        ("d", "v1", "pass", "missing", "no task"),
+        ("e", "v1", None, "pass", "unknown candidate"),
+    ],
+)
+def golden_grader_pairs(spark: SparkSession) -> DataFrame:
+    content = "request string, context string, audience string, original string, candidate string"
+    said = ("r", None, "u", "o")
+    assigned = spark.createDataFrame([(*k, *said, "x") for k in (("a", "v1"), ("a", "v2"), ("b", "v1"), ("c", "v1"), ("d", "v1"))], f"source_id string, variant string, {content}")
+    tasks = [("1", "a", "v1", *said, "x"), ("2", "a", "v2", *said, "x"), ("3", "b", "v1", *said, "y"), ("4", "c", "v1", *said, "x"), ("5", "e", "v1", *said, "x")]
+    decided = [("a", "v1", "confirmed_problem"), ("a", "v2", "no_problem"), ("b", "v1", "unresolved"), ("d", "v1", "no_problem")]
+    judged = [("1", "fail"), ("3", "pass"), ("4", "pass"), ("5", "pass")]
+    return evaluation.grader_pairs(
+        assigned, spark.createDataFrame(decided, "source_id string, variant string, status string"), spark.createDataFrame(tasks, f"id string, source_id string, variant string, {content}"), spark.createDataFrame(judged, "id string, contract string")
+    )
+
+
+OUTCOMES = [("d1", "pass", "fail", "first"), ("d1", "pass", "pass", "second"), ("d1", "pass", "pass", "tie"), ("d2", "fail", "pass", "uncertain"), ("d3", "uncertain", "pass", None), ("d3", "pass", "pass", "uncertain")]
+
+
+@golden(
+    "document_id varchar, completed bigint, determined bigint, votes bigint, fail_rate_difference double, preference_balance double",
+    [("d1", 3, 3, 2, 0.333333, 0.5), ("d2", 1, 1, 0, -1.0, None), ("d3", 2, 1, 0, 0.0, None)],
+)
+def golden_outcomes(spark: SparkSession) -> DataFrame:
+    out = evaluation.document_outcomes(spark.createDataFrame(OUTCOMES, "document_id string, first string, second string, selected string"))
+    return out.withColumn("fail_rate_difference", F.round("fail_rate_difference", 6))
+
+
+@golden(
+    "metric varchar, documents bigint, mean double, status varchar, estimated boolean",
+    [("fail_rate_difference", 3, -0.222222, "estimated", True), ("preference_balance", 1, 0.5, "insufficient", False)],
+)
+def golden_paired_estimates(spark: SparkSession) -> DataFrame:
+    outcomes = evaluation.document_outcomes(spark.createDataFrame(OUTCOMES, "document_id string, first string, second string, selected string"))
+    out = evaluation.paired_estimates(outcomes, exact=True)
+    return out.withColumns({"mean": F.round("mean", 6), "estimated": F.col("low").isNotNull() & (F.col("low") <= F.col("mean")) & (F.col("mean") <= F.col("high"))})
+
+
+@golden(
+    "case_id varchar, aspect varchar, state varchar",
+    [("a", "numbers_order", "missing"), ("a", "rhetoric_tone", "not asked"), ("a", "unnecessary_change", "unknown value")],
+)
+def golden_aspect_gaps(spark: SparkSession) -> DataFrame:
+    given = [("negation_polarity", "pass"), ("condition_scope", "fail"), ("ungrounded_specificity", "uncertain"), ("unnecessary_change", "better"), ("rhetoric_tone", "pass")]
+    return evaluation.aspect_gaps(spark.createDataFrame([("a", "tech")], "case_id string, profile string"), spark.createDataFrame([("a", *g) for g in given], "case_id string, aspect string, value string"))
+
+
+@golden("doc_id bigint, number bigint, problem varchar", [(1, 3, "gap before"), (1, 3, "occurs again"), (2, 2, "4 expected"), (1, 3, "4 expected")])
+def golden_table_gaps(spark: SparkSession) -> DataFrame:
+    rows = [(1, 1), (1, 3), (1, 3), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (3, 4)]
+    return markup.table_gaps(spark.createDataFrame(rows, "doc_id long, number long"), expected=4)
+
+
+@golden(
+    "small varchar, big varchar, added boolean, touched boolean",
+    [
+        ("行う", "行なう", True, True),
+        ("行う", "行ナう", False, True),
+        ("", "ああ", True, True),
+        ("𠮷(.田", "お𠮷(.の田い", True, False),
+        ("甲乙", "乙甲", False, False),
+    ],
+)
+def golden_additions(spark: SparkSession) -> DataFrame:
+    rows = [("行う", "行なう", "a/b.md", None), ("行う", "行ナう", "x.txt", "a/old.md"), ("", "ああ", "docs/x", ""), ("𠮷(.田", "お𠮷(.の田い", "x.txt", "y.txt"), ("甲乙", "乙甲", "x.txt", None)]
+    d = spark.createDataFrame(rows, "small string, big string, path string, before string")
+    patterns = F.array(F.lit("a/*.md"), F.lit("docs/[xy]"))
+    return d.select("small", "big", T.only_hiragana_added(F.col("small"), F.col("big")).alias("added"), T.touches(F.col("path"), F.col("before"), patterns).alias("touched"))
+
+
+@golden("state varchar, n bigint", [("changed", 1), ("disabled", 2), ("error", 1), ("unchanged", 1)])
+def golden_change_counts(spark: SparkSession) -> DataFrame:
+    rows = [("a", "1", "1", None, True), ("b", "1", "2", None, None), ("c", "1", "2", None, False), ("d", None, None, "x", False), ("e", "1", None, "x", True)]
+    return structure.change_counts(structure.source_changes(spark.createDataFrame(rows, "source_id string, reviewed string, head string, error string, enabled boolean")))

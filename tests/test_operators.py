@@ -459,3 +459,76 @@ def test_windowed_counts(spark, tmp_path):
     q = metrics.windowed_counts(s, "ts", ["k"]).writeStream.format("memory").queryName("wc").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r["k"], r["n"]) for r in spark.table("wc").collect()] == [("a", 2)]
+
+
+def test_ranks_balance_exactly_over_many_documents(spark):
+    for n in (2000, 2001):
+        pairs = spark.range(n * 2).select(F.col("id").alias("pair_id"), F.format_string("d%d", F.floor(F.col("id") / 2)).alias("document_id"))
+        got = evaluation.balanced_assignment(pairs, seed=3)
+        per = got.groupBy("document_id").agg(F.count_distinct("swapped").alias("k"), F.first("swapped").alias("s"))
+        facts = per.agg(F.count(F.lit(1)), F.max("k"), F.count_if("s")).first()
+        assert (facts[0], facts[1]) == (n, 1) and facts[2] in (n // 2, (n + 1) // 2)
+        other = evaluation.balanced_assignment(pairs.repartition(7), seed=3)
+        assert got.exceptAll(other).isEmpty()
+    items = spark.range(3000).select(F.format_string("i%d", "id").alias("id"))
+    out = evaluation.shuffled_batches(items, size=7)
+    assert sorted(r[0] for r in out.select("nth").collect()) == list(range(1, 3001))
+    assert out.groupBy("batch").count().agg(F.max("count")).first()[0] == 7
+    by_seed = [[r[0] for r in evaluation.shuffled_batches(items, seed=s).orderBy("nth").limit(50).collect()] for s in (1, 1, 2)]
+    assert by_seed[0] == by_seed[1] != by_seed[2]
+
+
+def test_readers_see_one_side(spark):
+    pairs = spark.range(10).select(F.col("id").alias("pair_id"), "id", F.lit("v1").alias("first"), F.lit("v2").alias("second")).withColumnRenamed("id", "document_id")
+    left, right = ({r["pair_id"]: r["variant"] for r in evaluation.reader_assignment(pairs, s).collect()} for s in ("left", "right"))
+    assert all({left[i], right[i]} == {"v1", "v2"} for i in range(10)) and sorted(left.values()) == ["v1"] * 5 + ["v2"] * 5
+
+
+def test_first_and_more(spark):
+    shown, more = evaluation.first_and_more(spark.range(7), ["id"], 3)
+    assert [r[0] for r in shown.collect()] == [0, 1, 2] and more.first()[0] == 4
+    shown, more = evaluation.first_and_more(spark.range(2), ["id"], 3)
+    assert shown.count() == 2 and more.first()[0] == 0
+    shown, more = evaluation.first_and_more(spark.range(7), ["id"], 0)
+    assert shown.count() == 7 and more.first()[0] == 0
+
+
+def test_labels_and_stamps(spark):
+    run = spark.createDataFrame([("a", 1), ("b", 2)], "case_id string, score int")
+    labels = spark.createDataFrame([("a", "pass")], "case_id string, expected string")
+    assert rows(evaluation.labelled_run(run, labels).na.fill(""), "case_id", "expected", "problem") == [("a", "pass", ""), ("b", "", "no label")]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            got = spark.sql("select timestamp_seconds(1774836000) as t, timestamp_seconds(1762063200.5) as u").select(T.utc_stamp(F.col("t")), T.utc_stamp(F.col("u"))).first()
+            assert tuple(got) == ("2026-03-30T02:00:00Z", "2025-11-02T06:00:00Z")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_docx_parts(spark):
+    import io
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = (
+        '<w:p><w:pPr><w:pStyle w:val="1"/><w:numPr><w:ilvl w:val="0"/><w:numId w:val="4"/></w:numPr></w:pPr><w:r><w:t>題</w:t><w:tab/><w:t>一</w:t></w:r></w:p><w:p/>'
+        '<w:tbl><w:tr><w:tc><w:p><w:r><w:t>甲</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>乙</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>'
+        '<w:p><w:r><w:t>文</w:t><w:footnoteReference w:id="2"/><w:cr/><w:t>末</w:t></w:r></w:p>'
+    )
+    parts = {
+        "word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>",
+        "word/styles.xml": f'<w:styles {w}><w:style w:styleId="1"><w:name w:val="heading 1"/></w:style></w:styles>',
+        "word/footnotes.xml": f'<w:footnotes {w}><w:footnote w:id="0"><w:p/></w:footnote><w:footnote w:id="2"><w:p><w:r><w:t>注</w:t></w:r></w:p></w:footnote></w:footnotes>',
+    }
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    d = spark.createDataFrame([(1, raw.getvalue()), (2, b"no zip"), (3, None)], "doc_id long, content binary")
+    got = [tuple(r) for r in markup.docx_lines(d, "content").orderBy("doc_id", "ordinal").select("doc_id", "part", "style", "numbering", "text").collect()]
+    assert got[:-1] == [
+        (1, "P1", "heading 1", "4:0", "題\t一"), (1, "P2", "", "", ""), (1, "T1.1.1", "", "", "甲 / 乙"), (1, "T1.1.2", "", "", ""), (1, "P3", "", "", "文[^2]\n末"), (1, "N2", "", "", "注"),
+    ]
+    assert got[-1][:2] == (2, "error")
