@@ -659,3 +659,14 @@ def golden_additions(spark: SparkSession) -> DataFrame:
 def golden_change_counts(spark: SparkSession) -> DataFrame:
     rows = [("a", "1", "1", None, True), ("b", "1", "2", None, None), ("c", "1", "2", None, False), ("d", None, None, "x", False), ("e", "1", None, "x", True)]
     return structure.change_counts(structure.source_changes(spark.createDataFrame(rows, "source_id string, reviewed string, head string, error string, enabled boolean")))
+
+
+@golden(
+    "pair_id bigint, headings_before int, headings_after int, heading_state varchar, lost varchar, fresh varchar, made_up varchar",
+    [(1, 1, 2, "split", "Label", "6.0|7.0", "7.0"), (2, 2, 1, "merged", "", "9.0|30.0", "30.0"), (3, 0, 0, "same", "", "", "")],
+)
+def golden_structure(spark: SparkSession) -> DataFrame:
+    pairs = [("# A\n**Label**: x\n10 and 4", "# A\n## B\n10, 6 and 7"), ("# A\n# B\n3", "# A\n9 と 30%"), (None, None)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs, 1)], "pair_id long, before string, after string")
+    names = {"lost": "labels_lost", "fresh": "numbers_new", "made_up": "numbers_made_up"}
+    return structure.structure_changes(rows).withColumns({k: F.array_join(F.col(v).cast("array<string>"), "|") for k, v in names.items()})

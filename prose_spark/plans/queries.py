@@ -595,6 +595,14 @@ def balanced_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.balanced_assignment(rows)
 
 
+@query("select count(*) as documents, count(*) // 2 as swapped, 1::bigint as orientations from documents")
+def assignment_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents are swapped, and all pairs of a document alike."""
+    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("pair_id"))
+    per = evaluation.balanced_assignment(pairs).groupBy("document_id").agg(F.count_distinct("swapped").alias("k"), F.first("swapped").alias("swapped"))
+    return per.agg(F.count(F.lit(1)).alias("documents"), F.count_if("swapped").alias("swapped"), F.max("k").alias("orientations"))
+
+
 @query(
     """with m as (select lang, count(*) as n, sum(length(text))::bigint as chars from documents group by 1)
     select lang as label, n, chars from m union all select 'TOTAL', sum(n)::bigint, sum(chars)::bigint from m"""
