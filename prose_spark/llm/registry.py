@@ -46,8 +46,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return _quality.quality(docs, bands=_quality.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return _quality.fitted_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

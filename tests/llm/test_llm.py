@@ -724,6 +724,42 @@ def test_op8_entropy_floor_comes_from_labelled_documents(spark, tmp_path):
     assert sum(got[i]["kept"] for i in range(80)) >= 76
 
 
+def test_op8_bands_come_from_all_labelled_documents(spark, tmp_path):
+    """2,600 documents labelled good; those of the last 600 ids by hash repeat themselves more, and no sample of the first 2,000 shows it."""
+    from prose_spark.llm import registry
+
+    rng = random.Random(12)
+    lexicon = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 8))) for _ in range(600)]
+    late = {r["id"] for r in spark.range(2600).orderBy(F.xxhash64("id"), "id").collect()[2000:]}
+    rows = [(i, " ".join(rng.choice(lexicon[:25] if i in late else lexicon) for _ in range(60 + i % 40))) for i in range(2600)]
+    table(spark, rows).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(2600)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = registry.op8_quality(spark, str(tmp_path)).collect()
+    good = [r for r in got if not r["base_failed"]]
+    assert len(got) == 2600 and len(good) > 2500
+    floor = np.percentile([r["entropy_share"] for r in good], 0.5)
+    low, high = np.percentile([r["chars_per_token"] for r in good], [0.1, 99.9])
+    most = np.percentile([r["byte_share"] for r in good], 99.9) + 0.02
+    want = {r["doc_id"] for r in good if r["entropy_share"] >= floor and 0.9 * low <= r["chars_per_token"] <= 1.1 * high and r["byte_share"] <= most}
+    assert {r["doc_id"] for r in got if r["kept"]} == want
+    assert len(want & late) > 500
+
+
+@pytest.mark.parametrize("bins", [2, 7, 1024])
+def test_quantiles_by_counting_equal_those_by_sorting(spark, bins):
+    rng = random.Random(bins)
+    rows = [("a", rng.choice([0.0, 0.25, rng.random(), 1 + rng.random() * 1e-12]), rng.gauss(2, 1)) for _ in range(700)]
+    rows += [("b", 0.5, float(i % 3)) for i in range(50)] + [("c", 1.0, 2.0)] + [("d", rng.random(), 0.1), ("d", rng.random(), 0.1 + 2**-55)]
+    shares = {"x": [0.005, 0.5], "y": [0.001, 0.999]}
+    values = spark.createDataFrame(rows, "script string, x double, y double")
+    want = {s: {(n, q): np.percentile([r[1 + (n == "y")] for r in rows if r[0] == s], 100 * q) for n, qs in shares.items() for q in qs} for s in "abcd"}
+    got = quality.quantiles(values, shares, bins=bins)
+    assert {s: sorted(v) for s, v in got.items()} == {s: sorted(v) for s, v in want.items()}
+    assert all(got[s][k] == pytest.approx(w, rel=1e-14) for s, v in want.items() for k, w in v.items())
+    assert sorted(quality.quantiles(values, shares, least=50, bins=bins)) == ["a", "b"]
+    assert quality.quantiles(values.limit(0), shares, bins=bins) == {}
+
+
 # ---- HTML
 
 
