@@ -276,6 +276,17 @@ def test_shingle_overlaps_of_more_originals_than_a_crowd(spark):
         assert len(got) == len(want) and dict(got) == want
 
 
+def test_shingle_overlaps_send_no_pairs(spark):
+    """Originals that share a passage, each with another set of shingles besides: all pairs come out, and none is exchanged to be counted."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, own = word(120), [word(60) for _ in range(40)]
+    d = docs(spark, *[passage + own[i // 2] + own[(i + 1) // 2 + 1] for i in range(60)])
+    out = feedback.overlapping(d, chunk=1)
+    assert out.count() == 60 * 59 // 2
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()  # no shingle is joined with itself
+
+
 def ticket(case=(), context=(), consent=(), **top):
     body = {
         "schema_version": 1,
