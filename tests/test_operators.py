@@ -287,6 +287,31 @@ def test_shingle_overlaps_send_no_pairs(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()  # no shingle is joined with itself
 
 
+def test_crowded_shingles_against_brute_force(spark):
+    import zlib
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abé漢𠀀 ") for _ in range(n))
+    passage = word(200)
+    texts = [passage[: 60 + 9 * i] + word(50) for i in range(12)] + ["", "short", None]
+    texts += [" " + texts[0]] * 3  # copies of one original
+
+    def shingles(t):
+        c = "".join((t or "").split())
+        return {h for i in range(len(c) - 19) if (h := zlib.crc32(c[i : i + 20].encode())) % 8 == 0}
+
+    d = docs(spark, *texts)
+    holders = {}
+    for i, name in d.select("doc_id", T.whitespace_free_id(F.coalesce("text", F.lit("")))).collect():
+        for h in shingles(texts[i]):
+            holders.setdefault(h, set()).add(name)
+    want = sorted((h, len(x), min(x)) for h, x in holders.items() if len(x) > 3)
+    out = feedback.crowded_shingles(d, crowd=3)
+    assert rows(out, "h", "originals", "least") == want and want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and plan.count("Repartition") == 1  # no array of characters a place; one exchange, by shingle
+
+
 def ticket(case=(), context=(), consent=(), **top):
     body = {
         "schema_version": 1,
