@@ -4,6 +4,7 @@ rates are null without a denominator."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -129,22 +130,74 @@ def bootstrap_exact(values: DataFrame, resamples: int = 9999, seed: int = 0, lev
     return values.select(F.col("value").cast("double").alias("value")).coalesce(1).mapInArrow(run, "documents long, mean double, status string, low double, high double")
 
 
+def exact_percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]], near: float = 0.001, most: int = 10_000) -> DataFrame:
+    """by..., and a column per entry of wanted: {name: (column, share)}, percentiles with linear interpolation of the values that aren't null.
+
+    Spark's own holds a group's different values in one task. Here a sketch gives two marks near each wanted place (`near`: how far off, as
+    a share of the rows); the rows between marks are counted, and only a part that holds a wanted rank is sorted by value. Counts are exact and
+    every row belongs to one part, so the sketch decides how much is sorted, never what comes out. Marks are broadcast for up to `most`
+    groups; more are joined by exchanges."""
+    columns = sorted({c for c, _ in wanted.values()})
+    marks = lambda c: sorted({min(1.0, max(0.0, p + d)) for k, p in wanted.values() if k == c for d in (-near, near)})
+    keys = [F.col(k).alias(f"_{i}") for i, k in enumerate(by)]
+    ours = [f"_{i}" for i in range(len(by))]
+    same = lambda x, y, names: reduce(lambda p, q: p & q, [F.col(f"{x}.{n}").eqNullSafe(F.col(f"{y}.{n}")) for n in names], F.lit(True))
+    each = lambda make: F.explode(F.array(*[F.struct(F.lit(i).alias("c"), *make(c)) for i, c in enumerate(columns)]))
+
+    small = F.broadcast if rows.select(*keys).distinct().limit(most + 1).count() <= most else lambda table: table
+    sketch = rows.groupBy(*keys).agg(*[F.percentile_approx(F.col(c).cast("double"), marks(c), 10_000).alias(f"m{i}") for i, c in enumerate(columns)], F.lit(0).alias("k"))
+    sketch = sketch.select(*ours, each(lambda c: [F.col(f"m{columns.index(c)}").alias("marks")]).alias("x")).select(*ours, "x.*")
+    values = rows.select(*keys, each(lambda c: [F.col(c).cast("double").alias("v")]).alias("x")).select(*ours, "x.*").filter("v is not null")
+    part = F.size(F.filter("marks", lambda m: m <= F.col("v")))
+    dealt = values.alias("x").join(small(sketch.alias("y")), same("x", "y", [*ours, "c"])).select(*[f"x.{n}" for n in [*ours, "c", "v"]], part.alias("part"))
+
+    parts = dealt.groupBy(*ours, "c", "part").agg(F.count(F.lit(1)).alias("n"))
+    here = Window.partitionBy(*ours, "c")  # a row per part: twice the wanted places and one
+    order = here.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"total": F.sum("n").over(here), "before": F.coalesce(F.sum("n").over(order), F.lit(0))})
+    # of each wanted place, the ranks (from 0) at either side of it
+    asked = F.array(*[F.struct(F.lit(i).alias("w"), F.lit(columns.index(c)).alias("c"), F.lit(float(p)).alias("p")) for i, (c, p) in enumerate(wanted.values())])
+    parts = parts.select(*ours, "c", "part", "before", "n", "total", F.explode(F.filter(asked, lambda a: a["c"] == F.col("c"))).alias("a"))
+    at = F.col("total").cast("double") - 1
+    parts = parts.select(*ours, "c", "part", "before", "n", F.col("a.w").alias("w"), (at * F.col("a.p")).alias("at")).withColumn("rank", F.explode(F.array(F.floor("at"), F.ceil("at"))))
+    places = parts.filter("rank >= before and rank < before + n").groupBy(*ours, "c", "part", "before").agg(F.collect_set(F.struct("w", "at", "rank")).alias("asked"))
+
+    counted = dealt.alias("x").join(small(places.alias("y")), same("x", "y", [*ours, "c", "part"])).groupBy(*[f"x.{n}" for n in [*ours, "c", "part", "v"]]).agg(F.count(F.lit(1)).alias("k"))
+    run = Window.partitionBy(*ours, "c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = counted.withColumn("upto", F.sum("k").over(run))
+    ends = counted.alias("x").join(small(places.alias("y")), same("x", "y", [*ours, "c", "part"])).select(*[F.col(f"x.{n}") for n in [*ours, "v", "k"]], (F.col("before") + F.col("upto")).alias("upto"), F.explode("asked").alias("a"))
+    ends = ends.filter("a.rank < upto and a.rank >= upto - k").groupBy(*ours, "a.w", "a.at").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
+    found = ends.groupBy(*ours).agg(*[F.max(F.when(F.col("w") == i, value)).alias(name) for i, name in enumerate(wanted)])
+    groups = rows.groupBy(*keys).agg(F.lit(0).alias("k"))
+    out = groups.alias("x").join(found.alias("y"), same("x", "y", ours), "left")
+    return out.select(*[F.col(f"x._{i}").alias(k) for i, k in enumerate(by)], *[F.col(f"y.{n}") for n in wanted])
+
+
+def _with_percentiles(rows: DataFrame, by: list[str], stats: list[Column], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Aggregates and exact percentiles of the same groups."""
+    here, there = rows.groupBy(*by).agg(*stats), exact_percentiles(rows, by, wanted)
+    match = reduce(lambda p, q: p & q, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in by], F.lit(True))
+    return here.alias("x").join(there.alias("y"), match).select("x.*", *[F.col(f"y.{n}") for n in wanted])
+
+
 def spread(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Minimum, median and maximum of columns, nulls left out."""
-    stats = [x for c in columns for x in (F.min(c).alias(f"{c}_min"), F.median(c).alias(f"{c}_median"), F.max(c).alias(f"{c}_max"))]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), *stats)
+    stats = [x for c in columns for x in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))]
+    out = _with_percentiles(rows, by, [F.count(F.lit(1)).alias("runs"), *stats], {f"{c}_median": (c, 0.5) for c in columns})
+    return out.select(*by, "runs", *[f"{c}_{x}" for c in columns for x in ("min", "median", "max")])
 
 
 def percentiles(rows: DataFrame, by: list[str], column: str, at: list[float]) -> DataFrame:
     """Percentiles with linear interpolation."""
-    return rows.groupBy(*by).agg(*[F.percentile(column, F.lit(p)).alias(f"p{int(p * 100)}") for p in at])
+    return exact_percentiles(rows, by, {f"p{int(p * 100)}": (column, p) for p in at})
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
     """runs(label, errors_left, kept_protected): runs without errors, mean of what is left, runs that kept what was protected."""
-    return runs.groupBy("label").agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("errors_left") == 0).alias("error_free"), F.avg("errors_left").alias("mean_left"), F.median("errors_left").alias("median_left"), F.count_if("kept_protected").alias("protected_kept")
-    )
+    stats = [F.count(F.lit(1)).alias("runs"), F.count_if(F.col("errors_left") == 0).alias("error_free"), F.avg("errors_left").alias("mean_left"), F.count_if("kept_protected").alias("protected_kept")]
+    out = _with_percentiles(runs, ["label"], stats, {"median_left": ("errors_left", 0.5)})
+    return out.select("label", "runs", "error_free", "mean_left", "median_left", "protected_kept")
 
 
 def confusion(rows: DataFrame, human: str, machine: str) -> DataFrame:

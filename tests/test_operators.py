@@ -568,3 +568,17 @@ def test_docx_parts(spark):
         (1, "P1", "heading 1", "4:0", "題\t一"), (1, "P2", "", "", ""), (1, "T1.1.1", "", "", "甲 / 乙"), (1, "T1.1.2", "", "", ""), (1, "P3", "", "", "文[^2]\n末"), (1, "N2", "", "", "注"),
     ]
     assert got[-1][:2] == (2, "error")
+
+
+def test_exact_percentiles_against_spark_s_own(spark):
+    rng = random.Random(5)
+    data = [(g, rng.choice([None, float("nan"), rng.random(), rng.gauss(0, 1e9), 7.0]) if g != "b" else 3.0, rng.randint(-5, 5)) for g in ("a", "b", None, "c") for _ in range(501)]
+    data += [("one", 2.5, 1), ("two", 1.0, None), ("two", 4.0, None), ("none", None, None)]
+    d = spark.createDataFrame(data, "g string, x double, n int")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.999, 1.0]
+    wanted = {f"{c}{i}": (c, p) for c in ("x", "n") for i, p in enumerate(shares)}
+    want = sorted(map(repr, d.groupBy("g").agg(*[F.percentile(c, F.lit(p)).alias(k) for k, (c, p) in wanted.items()]).collect()))
+    for how in ({}, {"near": 0.0}, {"near": 0.3}, {"most": 2}):
+        assert sorted(map(repr, evaluation.exact_percentiles(d, ["g"], wanted, **how).collect())) == want
+    plan = evaluation.percentiles(d, ["g"], "x", [0.05])._jdf.queryExecution().optimizedPlan().toString()
+    assert " percentile(" not in plan  # which gathers a group's values in one task
