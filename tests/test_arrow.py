@@ -72,3 +72,11 @@ def test_alignment_works_on_pieces(spark):
     assert canon(one) == canon(two) != []
     assert canon(comparison.marker_changes(one)) == canon(comparison.marker_changes(two))
     assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_markdown_works_on_pieces(spark):
+    from prose_spark.sources import markup
+
+    n = 20 * len(TURNS)
+    texts = TURNS * 20
+    assert markup.rows_of(Caught(), "text", markup.markdown_rows).most_rows(doc_id=range(n), body=texts) < n
