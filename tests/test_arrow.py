@@ -80,3 +80,10 @@ def test_markdown_works_on_pieces(spark):
     n = 20 * len(TURNS)
     texts = TURNS * 20
     assert markup.rows_of(Caught(), "text", markup.markdown_rows).most_rows(doc_id=range(n), body=texts) < n
+
+
+def test_sentences_work_on_pieces(spark):
+    from prose_spark.operators import readability
+
+    n = 20 * len(TURNS)
+    assert readability.split_blocks(Caught()).most_rows(doc_id=range(n), text=TURNS * 20, md=[True] * n) < n
